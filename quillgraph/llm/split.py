@@ -32,7 +32,7 @@ DEFAULT_SIZE = 512
 DEFAULT_OVERLAP = 64
 
 #: Characters with the Unicode property White_Space, as a Java and Python character class.
-SPACE_CLASS = r"[\u0009-\u000D \u0085   -     　]"
+SPACE_CLASS = r"[\u0009-\u000D\u0020\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 TOKEN_CLASS = SPACE_CLASS.replace("[", "[^", 1)
 
 _TOKEN = re.compile(TOKEN_CLASS + "+")
@@ -40,7 +40,7 @@ _SENTENCE_END = re.compile(r"[.!?…。！？][\"'’”»)\]}]*$")
 _INITIAL = re.compile(r"^[(\"'“„]*[^\W\d_]\.$")
 #: Abbreviations after which a full stop ends no sentence (fixed values).
 ABBREVIATIONS = frozenset("mr. mrs. ms. dr. prof. st. sir. capt. rev. hon. jr. sr. jnr. no. vol. fig. cf. vs. e.g. i.e. b. d. c. bzw. z.b. sra. mme. mlle.".split())
-_PARAGRAPH_GAP = re.compile(r"(?:\r\n?|\n)[^\S\r\n]*(?:\r\n?|\n)| ")
+_PARAGRAPH_GAP = re.compile(r"(?:\r\n?|\n)[^\S\r\n]*(?:\r\n?|\n)|\u2029")
 _CLOSING_TAG = re.compile(r"(?:</p>|<br\s*/?>)\s*$", re.IGNORECASE)
 
 PIECES = "doc_id bigint, piece_no int, start_token int, end_token int, n_pieces int, cut string, piece string"

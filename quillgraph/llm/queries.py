@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import split
+from quillgraph.llm import groups, neighbours, split
 from quillgraph.session import read_table
 
 
@@ -27,18 +27,48 @@ def p1_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.groupBy("cut").agg(F.count("*").alias("n_pieces"), F.sum((F.col("end_token") - F.col("start_token")).cast("bigint")).alias("n_tokens"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups.entity_groups(read_table(spark, sf_dir, "identities"), read_table(spark, sf_dir, "local_entities"))
+
+
+def p2_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many groups of each size, all keys counted."""
+    sizes = groups.connected_groups(read_table(spark, sf_dir, "identities")).groupBy("group_id").agg(F.count("*").alias("group_size"))
+    return sizes.groupBy("group_size").agg(F.count("*").alias("n_groups"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.neighbour_pairs(neighbours.nearest_neighbours(read_table(spark, sf_dir, "embedding_vectors")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
     "p1_cuts": p1_cuts,
+    "p2_found": p2_found,
+    "p2_sizes": p2_sizes,
+    "p6_found": p6_found,
 }
 
 _SPACE = r"[\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
+_COMPONENTS = """
+    WITH RECURSIVE e AS (
+        SELECT left_local AS a, right_local AS b FROM identities WHERE left_local IS NOT NULL AND right_local IS NOT NULL
+        UNION SELECT right_local, left_local FROM identities WHERE left_local IS NOT NULL AND right_local IS NOT NULL
+    ), reach(k, r) AS (
+        SELECT a, a FROM e
+        UNION SELECT e.b, reach.r FROM reach JOIN e ON reach.k = e.a
+    )
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "p1_found": rf"""
         SELECT d.doc_id
         FROM documents d LEFT JOIN data_config c ON d.source = c.source
         WHERE len(list_filter(regexp_split_to_array(d.text, '{_SPACE}'), lambda x: x <> '')) > coalesce(c.chunk_size, 512)
     """,
+    "p2_found": f"""{_COMPONENTS} SELECT k AS local_id, min(r) AS group_id FROM reach WHERE k IN (SELECT local_id FROM local_entities) GROUP BY k""",
+    "p2_sizes": f"""{_COMPONENTS}, lab AS (SELECT k, min(r) AS g FROM reach GROUP BY k), size AS (SELECT g, count(*) AS group_size FROM lab GROUP BY g)
+        SELECT group_size, count(*) AS n_groups FROM size GROUP BY group_size""",
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import groups, neighbours, split
+from quillgraph.llm import groups, leakage, neardup, neighbours, split
 from quillgraph.session import read_table
 
 
@@ -37,17 +37,41 @@ def p2_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes.groupBy("group_size").agg(F.count("*").alias("n_groups"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.NearDuplicates(read_table(spark, sf_dir, "documents"), shingle=3, threshold=0.5).document_pairs()
+
+
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: class of exact copies and number of links at five words and 0.8."""
+    return neardup.NearDuplicates(read_table(spark, sf_dir, "documents")).membership()
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.neighbour_pairs(neighbours.nearest_neighbours(read_table(spark, sf_dir, "embedding_vectors")))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = leakage.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return leaks.where(F.col("containment") >= leakage.SHARE).select("doc_id", "item_id")
+
+
+def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per leaked item: documents that hold it whole, in part or as a paraphrase."""
+    leaks = leakage.verdicts(leakage.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")))
+    return leaks.groupBy("item_id", "kind").agg(F.count("*").alias("n_documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
     "p1_cuts": p1_cuts,
     "p2_found": p2_found,
     "p2_sizes": p2_sizes,
+    "p5_found": p5_found,
+    "p5_classes": p5_classes,
     "p6_found": p6_found,
+    "p8_found": p8_found,
+    "p8_items": p8_items,
 }
 
 _SPACE = r"[\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"

@@ -33,18 +33,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.session import is_small
+
 K = 5
 DIM = 64
 SAMPLE_ROWS = 65_536
 MAX_CELLS = 4_096
 PROBES = 6
+#: A cell is probed only if its centroid is at most this much less similar than the nearest one.
+MARGIN = 0.1
 SUBSPACES = 8
 CODEWORDS = 256
-SHORTLIST = 12
+SHORTLIST = 24
 #: Expected members of a group, the unit of one task.
-GROUP_ROWS = 12_000
+GROUP_ROWS = 24_000
 #: Expected members of a cell beyond which it is divided into chunks.
 CELL_ROWS = 6_000
+#: Keys with several rows up to which their set is broadcast; beyond it all rows are shuffled by key.
+REPEATED_KEYS = 1_000_000
 SEED = 11
 
 
@@ -54,6 +60,20 @@ def latest_vectors(table: DataFrame, key: str = "vector_key", vector: str = "vec
     return newest.select("key", F.col("m.vector").alias("vector"))
 
 
+def latest_rows(table: DataFrame) -> DataFrame:
+    """As ``latest_vectors`` for columns key, vector, created, shuffling only keys with several rows.
+
+    Which keys those are comes from a shuffle of key hashes alone.
+    """
+    hashed = table.where("key is not null").withColumn("kh", F.xxhash64("key"))
+    repeated = hashed.groupBy("kh").agg(F.count("*").alias("n")).where("n > 1").select("kh", F.lit(True).alias("_again"))
+    if not is_small(repeated, REPEATED_KEYS):
+        return latest_vectors(table, "key", "vector", "created")
+    marked = hashed.join(F.broadcast(repeated), "kh", "left")
+    once = marked.where("_again is null").select("key", "vector")
+    return once.unionByName(latest_vectors(marked.where("_again"), "key", "vector", "created"))
+
+
 def usable(vectors: list | pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Unit vectors of the usable entries and their positions."""
     good = [i for i, v in enumerate(vectors) if v is not None and len(v) == dim]
@@ -172,13 +192,14 @@ def _place(index: Index, dim: int, probes: int):
             indexed = batch.column("indexed").take(pa.array(at)).to_numpy(zero_copy_only=False)
             p = min(probes, len(index.coarse))
             sims = x @ index.coarse.T
+            own = np.argmax(sims, axis=1)
             near = np.argpartition(-sims, p - 1, axis=1)[:, :p] if p < sims.shape[1] else np.argsort(-sims, axis=1)[:, :p]
-            own = _nearest(x, index.coarse)
+            close = np.take_along_axis(sims, near, axis=1) >= sims[np.arange(len(x)), own][:, None] - MARGIN
+            halves = x.astype(np.float16)
             rows: list[tuple] = []
             for i, key in enumerate(keys):
-                cells = set(near[i].tolist())
+                cells = set(near[i][close[i]].tolist())
                 cells.add(int(own[i]))
-                vec = x[i].tobytes()
                 home = int(own[i])
                 chunk = int(hashes[i] % index.chunks[home])
                 by: dict[int, list[int]] = {}
@@ -188,6 +209,8 @@ def _place(index: Index, dim: int, probes: int):
                 at_home = int(index.group[home]) * most + (chunk if index.chunks[home] > 1 else 0)
                 for grp, mine in by.items():
                     here = grp == at_home and bool(indexed[i])
+                    # queries away from home travel in half precision
+                    vec = (x if grp == at_home else halves)[i].tobytes()
                     rows.append((grp, here, key, vec, home if here else -1, chunk, np.array(sorted(mine), np.int32).tobytes()))
             columns = list(zip(*rows)) or [[]] * len(types)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, types)], schema=types)
@@ -202,7 +225,10 @@ def _search(index: Index, k: int, shortlist: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("key", kind="stable")  # ties then go to the smaller key
         dim = index.coarse.shape[1]
-        q = np.frombuffer(b"".join(pdf["vec"]), np.float32).reshape(-1, dim)
+        half = np.array([len(v) == 2 * dim for v in pdf["vec"]])
+        q = np.empty((len(pdf), dim), np.float32)
+        for which, kind in ((half, np.float16), (~half, np.float32)):
+            q[which] = np.frombuffer(b"".join(pdf["vec"].to_numpy()[which]), kind).reshape(-1, dim)
         keys = pdf["key"].to_numpy()
         members = np.flatnonzero(pdf["member"].to_numpy())
         cell_of = pdf["cell"].to_numpy()[members]
@@ -261,19 +287,23 @@ def _cell_best(index: Index, q: np.ndarray, rows: np.ndarray, inside: np.ndarray
     return s, i
 
 
-def _crowded(table: DataFrame, k: int) -> DataFrame:
-    """Hashes of vectors that stand in more than k + 1 rows (a superset of the crowded classes)."""
-    return table.groupBy(F.xxhash64("vector").alias("vh")).agg(F.count("*").alias("n")).where(F.col("n") > k + 1)
+def _is_usable(dim: int):
+    return (F.size("vector") == dim) & F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v)) & F.exists("vector", lambda v: v != 0)
+
+
+def _crowded(table: DataFrame, k: int, dim: int) -> DataFrame:
+    """Hashes of usable vectors that stand in more than k + 1 rows (a superset of the crowded classes)."""
+    return table.where("vector is not null").where(_is_usable(dim)).groupBy(F.xxhash64("vector").alias("vh")).agg(F.count("*").alias("n")).where(F.col("n") > k + 1)
 
 
 def nearest_neighbours(table: DataFrame, key: str = "vector_key", vector: str = "vector", created: str = "created_at", k: int = K, dim: int = DIM, probes: int = PROBES, shortlist: int = SHORTLIST) -> DataFrame:
     """(key, neighbour, similarity, rank): the k most similar other keys of every usable key."""
     spark = table.sparkSession
     narrow = table.select(F.col(key).alias("key"), F.col(vector).alias("vector"), F.col(created).alias("created"))
-    latest = latest_vectors(narrow, "key", "vector", "created")
+    latest = latest_rows(narrow)
     total = narrow.count()
     index = Index(_sample(narrow, total, dim), total)
-    crowded = _crowded(narrow.where("vector is not null"), k)
+    crowded = _crowded(narrow, k, dim)
     direct = None
     if crowded.limit(1).count():
         hashed = latest.withColumn("vh", F.xxhash64("vector")).join(crowded.select("vh", F.lit(True).alias("_crowded")), "vh", "left")
@@ -282,8 +312,7 @@ def nearest_neighbours(table: DataFrame, key: str = "vector_key", vector: str =
         first = split.where("indexed and _crowded").groupBy("vh").agg(F.array_sort(F.collect_list("key")).alias("first"))
         direct = (
             split.where("not indexed")
-            .where(F.size("vector") == dim)
-            .where(F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v)) & F.exists("vector", lambda v: v != 0))
+            .where(_is_usable(dim))
             .join(first, "vh")
             .select("key", F.slice("first", 1, k).alias("near"), F.transform(F.slice("first", 1, k), lambda _: F.lit(1.0).cast("float")).alias("sims"))
         )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import groups, leakage, neardup, neighbours, split
+from quillgraph.llm import abuse, groups, leakage, neardup, neighbours, packing, split
 from quillgraph.session import read_table
 
 
@@ -50,6 +50,15 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.neighbour_pairs(neighbours.nearest_neighbours(read_table(spark, sf_dir, "embedding_vectors")))
 
 
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "data_config"))
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per capacity: containers, items and the used share of their room."""
+    return packing.fill(p7_packed(spark, sf_dir))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaks = leakage.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return leaks.where(F.col("containment") >= leakage.SHARE).select("doc_id", "item_id")
@@ -61,6 +70,18 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.groupBy("item_id", "kind").agg(F.count("*").alias("n_documents"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_scores(spark, sf_dir).where(F.col("score") >= abuse.THRESHOLD).select("doc_id")
+
+
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.source_rates(p9_scores(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
@@ -70,8 +91,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p5_classes": p5_classes,
     "p6_found": p6_found,
+    "p7_packed": p7_packed,
+    "p7_fill": p7_fill,
     "p8_found": p8_found,
     "p8_items": p8_items,
+    "p9_found": p9_found,
+    "p9_scores": p9_scores,
+    "p9_rates": p9_rates,
 }
 
 _SPACE = r"[\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"

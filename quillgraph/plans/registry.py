@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.plans import references as reference_plans
+from quillgraph.plans import graph, references, retrieval, text
 
-_MODULES = (reference_plans,)
+_MODULES = (references, text, graph, retrieval)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -16,4 +16,4 @@ for _module in _MODULES:
     QUERIES.update(_module.QUERIES)
     ORACLE_SQL.update(_module.ORACLE_SQL)
 
-FLAGSHIP = "p3_report"
+FLAGSHIP = "linked_documents"

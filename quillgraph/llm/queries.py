@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import abuse, groups, leakage, neardup, neighbours, packing, split
+from quillgraph.llm import abuse, groups, leakage, names, neardup, neighbours, packing, split
 from quillgraph.session import read_table
 
 
@@ -37,6 +37,17 @@ def p2_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes.groupBy("group_size").agg(F.count("*").alias("n_groups"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.variant_pairs(names.resolve_names(read_table(spark, sf_dir, "local_entities")))
+
+
+def p4_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per record: its cluster and how many records the cluster has."""
+    resolved = names.resolve_names(read_table(spark, sf_dir, "local_entities"))
+    sizes = resolved.groupBy("cluster").agg(F.count("*").alias("n_records"), F.countDistinct("name").alias("n_spellings"))
+    return resolved.join(sizes, "cluster").select("local_id", "cluster", "n_records", "n_spellings")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.NearDuplicates(read_table(spark, sf_dir, "documents"), shingle=3, threshold=0.5).document_pairs()
 
@@ -88,6 +99,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_cuts": p1_cuts,
     "p2_found": p2_found,
     "p2_sizes": p2_sizes,
+    "p4_found": p4_found,
+    "p4_clusters": p4_clusters,
     "p5_found": p5_found,
     "p5_classes": p5_classes,
     "p6_found": p6_found,

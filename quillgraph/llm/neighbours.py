@@ -42,6 +42,8 @@ MAX_CELLS = 4_096
 PROBES = 6
 #: A cell is probed only if its centroid is at most this much less similar than the nearest one.
 MARGIN = 0.1
+#: The margin takes effect once the nearer cells hold this many expected members.
+LEAST_MEMBERS = 40
 SUBSPACES = 8
 CODEWORDS = 256
 SHORTLIST = 24
@@ -143,6 +145,7 @@ class Index:
         fit = residual[rng.permutation(len(residual))[: 64 * CODEWORDS]]
         self.books = [kmeans(np.ascontiguousarray(fit[:, m * width : (m + 1) * width]), CODEWORDS, 6, rng) for m in range(SUBSPACES)]
         expected = np.bincount(near, minlength=len(self.coarse)) * (total / max(1, len(sample)))
+        self.expected = expected
         self.chunks = np.maximum(1, np.ceil(expected / CELL_ROWS)).astype(np.int64)
         self.group = np.zeros(len(self.coarse), np.int64)
         self._next = 0
@@ -194,7 +197,11 @@ def _place(index: Index, dim: int, probes: int):
             sims = x @ index.coarse.T
             own = np.argmax(sims, axis=1)
             near = np.argpartition(-sims, p - 1, axis=1)[:, :p] if p < sims.shape[1] else np.argsort(-sims, axis=1)[:, :p]
-            close = np.take_along_axis(sims, near, axis=1) >= sims[np.arange(len(x)), own][:, None] - MARGIN
+            near_sims = np.take_along_axis(sims, near, axis=1)
+            order = np.argsort(-near_sims, axis=1)
+            near, near_sims = np.take_along_axis(near, order, axis=1), np.take_along_axis(near_sims, order, axis=1)
+            nearer = np.cumsum(index.expected[near], axis=1) - index.expected[near]
+            close = (near_sims >= near_sims[:, :1] - MARGIN) | (nearer < LEAST_MEMBERS)
             halves = x.astype(np.float16)
             rows: list[tuple] = []
             for i, key in enumerate(keys):

@@ -9,8 +9,10 @@ from quillgraph.functions.text import norm
 from quillgraph.operators import answers as A
 from quillgraph.operators import graph as G
 from quillgraph.operators import retrieval as R
+from quillgraph.operators import search as S
 from quillgraph.operators import walks as W
 from quillgraph.operators.references import spelled_id
+from quillgraph.plans.graph import PRIORITY, directed_views
 from quillgraph.plans.text import SQL_SPACE, sql_answer
 from quillgraph.session import read_table
 
@@ -121,9 +123,20 @@ def qa_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("n", F.round("exact_match", 9).alias("exact_match"), F.round("token_f1", 9).alias("token_f1"), "n_unknown")
 
 
+def question_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that the budgeted evidence search selects for every question, from the records it mentions."""
+    mentions = question_mentions(spark, sf_dir).withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "mention").orderBy("local_id")))
+    starts = mentions.where("rank <= 50").select(F.col("query_id").alias("query"), "mention", F.col("local_id").alias("node"), F.lit(1.0).alias("prior"), "rank")
+    wanted = [f"X {r} Y" for r in PRIORITY]
+    views = directed_views(spark, sf_dir)
+    steps = views.select(F.col("from_local").alias("from_node"), F.col("to_local").alias("to_node"), "fact_id", "direction", "label", "doc_id", F.coalesce(F.col("label").isin(wanted), F.lit(False)).alias("priority"))
+    return S.select_documents(S.search(starts, steps, S.priority_checker(wanted)))
+
+
+
 QUERIES = {
     f.__name__: f
-    for f in (dense_topk, entity_topk, dense_passages, relation_priority, ppr_seeds, ppr_passages, question_mentions, linked_documents, recall_hit_mrr, evidence_metrics, frontier_priors, qa_scores, qa_report)
+    for f in (dense_topk, entity_topk, dense_passages, relation_priority, ppr_seeds, ppr_passages, question_mentions, linked_documents, recall_hit_mrr, evidence_metrics, frontier_priors, qa_scores, qa_report, question_search)
 }
 
 _PAIRS = """p AS (SELECT q.vec_id AS query, b.vec_id AS id, b.label, list_inner_product(q.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings q, embeddings b WHERE q.vec_id % 100 = 0),

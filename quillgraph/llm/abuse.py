@@ -45,12 +45,12 @@ ROUNDS = 3
 EPOCHS = 5
 #: Marked documents a term must stand in to be learned.
 MIN_DOCUMENTS = 3
-#: Abusive documents from which on marks are judged; an abusive mark needs a log-odds over the first
-#: bound from the other half's machine, a clean one a log-odds under the second.
-MIN_POSITIVE = 40
+#: An abusive mark needs a log-odds over the first bound from the other half's machine, once there are
+#: MIN_POSITIVE of them to judge by; a clean one a log-odds under the second.
+MIN_POSITIVE = 300
 DOUBT_ABUSIVE = -2.0
 DOUBT_CLEAN = 4.0
-THRESHOLD = 0.5
+THRESHOLD = 0.3
 SEED = 7
 
 #: Letters of other scripts that look like Latin ones (fixed values).
@@ -78,8 +78,27 @@ def plain(text: str) -> str:
     return _APART.sub(lambda m: re.sub(r"[ .\-_*·]", "", m.group()), text)
 
 
+#: Words that often carry abuse, by kind (fixed values). They are a prior only: the machine learns what each kind weighs.
+_KINDS = {
+    "insult": "idiot moron cretin imbecile halfwit dumbass dipshit shithead bastard wanker tosser twat prick dickhead arsehole asshole scumbag slimeball loser parasite bitch whore slut "
+    "pig fool jerk scum creep trash vollidiot idiot arschloch wichser depp trottel connard cretin salope ordure cabron imbecil idiota gilipollas pendejo",
+    "slight": "stupid brainless worthless pathetic rotten disgusting filthy vile spineless useless ugly lying fucking bloody damned dreckige widerliches kompletter pauvre sale espece pedazo asqueroso",
+    "curse": "shit crap fuck fucked bullshit fresse verpiss scheisse merde gueule mierda puta joder",
+    "threat": "kill smash break knife beat burn burns die hurt stab throat bone teeth drag umbringen schlagen casser crever tuer partir mueras matar",
+    "sexual": "porn naked nude nudes tits breasts sucking cock anal cumshots hardcore xxx moaning dripping sluts uncensored screamed nackt nue desnuda",
+    "group": "vermin rats breed thief swamp disease animals inferior dirty ungeziefer vermine ratas",
+}
+
+
+def _bag(word: str) -> int:
+    return xxhash.xxh64_intdigest("~" + word[0] + "".join(sorted(set(word[1:]))))
+
+
+_KIND_OF_BAG = {_bag(w): xxhash.xxh64_intdigest("^" + kind) for kind, ws in _KINDS.items() for w in ws.split()}
+
+
 class Terms(dict):
-    """Hashes of a word as it stands and of its letters without their order, cached per task."""
+    """Hashes of a word as it stands and of its letters without their order, or of the kind of abuse they spell, cached per task."""
 
     def __missing__(self, word: str) -> tuple[int, int]:
         w = word
@@ -90,7 +109,8 @@ class Terms(dict):
         elif w.isdigit():
             w = "0"
         key = xxhash.xxh64_intdigest(w)
-        bag = xxhash.xxh64_intdigest("~" + w[0] + "".join(sorted(set(w[1:])))) if len(w) > 3 else key
+        bag = _bag(w)
+        bag = _KIND_OF_BAG.get(bag, bag if len(w) > 3 else key)
         if len(self) > 2_000_000:
             self.clear()
         self[word] = key, bag
@@ -264,13 +284,16 @@ def train(texts: list[str | None], marks: np.ndarray) -> Machine | None:
         return None
     data = _Marked(docs, marks)
     use = np.ones(len(docs), bool)
-    if data.positive.sum() >= MIN_POSITIVE:
+    many = data.positive.sum() >= MIN_POSITIVE
+    for _ in range(2 if not many else 1):  # with few marks a second look finds more of the unmarked abuse
         half = np.random.default_rng(SEED).permutation(len(docs)) % 2 == 0
+        kept = np.ones(len(docs), bool)
         for one in (half, ~half):
-            judge = data.fit(one)
+            judge = data.fit(one & use)
             if judge is not None:
                 worst = data.worst(judge)
-                use &= one | np.where(data.positive, worst > DOUBT_ABUSIVE, worst < DOUBT_CLEAN)
+                kept &= one | np.where(data.positive, (worst > DOUBT_ABUSIVE) | (not many), worst < (DOUBT_CLEAN if many else DOUBT_CLEAN / 4))
+        use = kept
     return data.fit(use) or data.fit(np.ones(len(docs), bool))
 
 

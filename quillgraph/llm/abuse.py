@@ -120,14 +120,14 @@ class Terms(dict):
         """Hashed terms (words, 3): word, pair with the next word, letter bag."""
         found = [self[w] for w in _WORD.findall(plain(text))] if text else []
         if not found:
-            return np.zeros((0, 3), np.int64)
+            return np.zeros((0, 3), np.int32)
         pairs = np.array(found, dtype=np.uint64)
         word, bag = pairs[:, 0], pairs[:, 1]
         after = np.append(word[1:], np.uint64(0))
         both = (word * _MIX) ^ (after + (word >> np.uint64(31)))
         both *= _MIX
         both ^= both >> np.uint64(32)
-        return (np.stack([word, both, bag], axis=1) % np.uint64(TERMS)).astype(np.int64)
+        return (np.stack([word, both, bag], axis=1) % np.uint64(TERMS)).astype(np.int32)
 
 
 def windows(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -139,7 +139,7 @@ def windows(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         starts.append(at + BLOCK * np.arange(n))
         owner.append(np.full(n, d))
         at += len(t)
-    flat = np.concatenate(docs) if docs else np.zeros((0, 3), np.int64)
+    flat = np.concatenate(docs) if docs else np.zeros((0, 3), np.int32)
     starts, owner = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, owner))
     return flat, starts.astype(np.int64), owner.astype(np.int64), np.append(owner[1:] == owner[:-1], False) if len(owner) else np.zeros(0, bool)
 
@@ -258,7 +258,7 @@ class _Marked:
             others = ~positive[owner] & ((rank < 2) | (rng.random(len(owner)) < 2 / self.blocks[owner]))
             chosen = np.flatnonzero((mine | others) & ~self.tails & use[owner])
             y = positive[owner[chosen]].astype(np.float32)
-            x = np.full((len(chosen), 2 * BLOCK, 3), -1, np.int64)
+            x = np.full((len(chosen), 2 * BLOCK, 3), -1, np.int32)
             for j, c in enumerate(chosen):
                 part = self.flat[self.starts[c] : self.until[c]]
                 x[j, : len(part)] = np.where(rare[part], -1, part)

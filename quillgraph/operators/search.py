@@ -76,14 +76,13 @@ def allocate(frontiers: DataFrame, round_: int, budget: Budget) -> DataFrame:
 
 
 def edge_intervals(steps: DataFrame) -> DataFrame:
-    """Per node its edges of each kind (priority or not) on the unit interval."""
+    """Per node its edges of each kind (priority or not), numbered from 0, and how many it has of each."""
     w = Window.partitionBy("from_node", "priority")
     place = F.row_number().over(w.orderBy("fact_id", "direction", F.coalesce("to_node", F.lit(""))))
-    n = F.count("*").over(w)
     both = Window.partitionBy("from_node")
     return steps.select(
-        F.col("from_node").alias("node"), "priority", ((place - 1) / n).alias("_lo"), (place / n).alias("_hi"), F.col("fact_id").alias("_fact"), F.col("to_node").alias("_to"), F.col("label").alias("_label"), F.col("doc_id").alias("_doc"),
-        (F.count_if(F.col("priority")).over(both) > 0).alias("_some"), (F.count_if(~F.col("priority")).over(both) > 0).alias("_other"),
+        F.col("from_node").alias("node"), "priority", (place - 1).cast("bigint").alias("_place"), F.col("fact_id").alias("_fact"), F.col("to_node").alias("_to"), F.col("label").alias("_label"), F.col("doc_id").alias("_doc"),
+        F.count_if(F.col("priority")).over(both).alias("_some"), F.count_if(~F.col("priority")).over(both).alias("_other"),
     )
 
 
@@ -91,7 +90,8 @@ def walk(allocated: DataFrame, intervals: DataFrame, round_: int, budget: Budget
     """One row per particle: the frontier, the new path and whether it moved.
 
     A step first decides between asked-for and other edges (1 - epsilon to epsilon), then draws
-    evenly within the kind; a used fact is drawn again once, then the particle rests.
+    evenly within the kind; a used fact is drawn again once, then the particle rests. The number of
+    the drawn edge is in the join key, so a particle at a hub meets one edge.
     """
     kinds = intervals.select("node", "_some", "_other").distinct()
     state = allocated.select("query", "fid", "mention", "epsilon", "base", "rank", F.explode(F.sequence(F.lit(1), F.col("lots") * budget.lot)).alias("p"), "node", "prefix", F.col("prefix").alias("path"), "labels", "docs")
@@ -99,11 +99,13 @@ def walk(allocated: DataFrame, intervals: DataFrame, round_: int, budget: Budget
         for attempt in range(2):
             u = lambda name: uniform(F.lit(budget.seed), F.lit(round_), F.col("fid"), F.col("p"), F.lit(depth), F.lit(attempt), F.lit(name))  # noqa: E731, B023
             resting = F.size("path") > F.size("prefix") + depth
-            drawn = state.join(kinds, "node", "left").withColumn("_asked", F.when(F.col("_some") & F.col("_other"), u("kind") >= F.col("epsilon")).otherwise(F.col("_some")))
-            drawn = drawn.withColumn("_asked", F.when(resting | (~F.col("_asked") & (F.col("epsilon") <= 0)), None).otherwise(F.col("_asked"))).withColumn("_u", u("edge"))
-            edges = intervals.select(F.col("node").alias("_node"), F.col("priority").alias("_kind"), "_lo", "_hi", "_fact", "_to", "_label", "_doc")
+            drawn = state.join(kinds, "node", "left").withColumn("_asked", F.when((F.col("_some") > 0) & (F.col("_other") > 0), u("kind") >= F.col("epsilon")).otherwise(F.col("_some") > 0))
+            drawn = drawn.withColumn("_asked", F.when(resting | (~F.col("_asked") & (F.col("epsilon") <= 0)), None).otherwise(F.col("_asked")))
+            n = F.when(F.col("_asked"), F.col("_some")).otherwise(F.col("_other"))
+            drawn = drawn.withColumn("_draw", F.least(F.floor(u("edge") * n), n - 1))
+            edges = intervals.select(F.col("node").alias("_node"), F.col("priority").alias("_kind"), "_place", "_fact", "_to", "_label", "_doc")
             # a particle without a draw keeps its row: the null kind meets no edge
-            drawn_at = (F.col("node") == F.col("_node")) & (F.col("_asked") == F.col("_kind")) & (F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi"))
+            drawn_at = (F.col("node") == F.col("_node")) & (F.col("_asked") == F.col("_kind")) & (F.col("_draw") == F.col("_place"))
             hit = drawn.drop("_some", "_other").join(edges, drawn_at, "left")
             fresh = F.col("_fact").isNotNull() & ~F.array_contains("path", F.coalesce("_fact", F.lit("")))
             more = lambda c, v: F.when(fresh, F.array_append(c, v)).otherwise(F.col(c)).alias(c)  # noqa: E731, B023

@@ -35,11 +35,33 @@ def source_blend(weighted: DataFrame, share: float) -> DataFrame:
     return weighted.withColumn("p_blended", F.when(own_count == 0, F.col("p")).otherwise((1 - part) * F.col("p") + part * specific))
 
 
-def two_step_paths(steps: DataFrame) -> DataFrame:
-    """(start, fact1, middle, fact2, end): simple paths of two steps; no fact twice, a terminal only last."""
+def two_step_paths(steps: DataFrame, one_document: bool = False) -> DataFrame:
+    """(start, fact1, middle, fact2, end): simple paths of two steps; no fact twice, a terminal only last.
+
+    With ``one_document`` only paths whose facts share an article, which then is part of the join key.
+    """
     a = steps.where("to_node is not null").select(F.col("from_node").alias("start"), F.col("fact_id").alias("fact1"), F.col("doc_id").alias("doc1"), F.col("to_node").alias("middle"))
     b = steps.select(F.col("from_node").alias("middle"), F.col("fact_id").alias("fact2"), F.col("doc_id").alias("doc2"), F.col("to_node").alias("end"))
-    return a.join(b, "middle").where("fact1 <> fact2").select("start", "fact1", "middle", "fact2", "end", "doc1", "doc2")
+    keys = ["middle"] + ["doc1"] * one_document
+    both = a.join(b.withColumn("doc1", F.col("doc2")) if one_document else b, keys)
+    return both.where("fact1 <> fact2").select("start", "fact1", "middle", "fact2", "end", "doc1", "doc2")
+
+
+def two_step_counts(steps: DataFrame) -> DataFrame:
+    """(start, n_paths, n_open, n_two_documents): what ``two_step_paths`` has from each start, without the pairs.
+
+    A first step meets the number of edges at its end less those of its own fact, so a node of n
+    edges costs n rows and not their square.
+    """
+    key = ["middle", "fact_id", "doc_id"]
+    last = steps.select(F.col("from_node").alias("middle"), "fact_id", "doc_id", "to_node")
+    of = lambda keys, c: last.groupBy(*keys).agg(F.count("*").alias(f"n{c}"), F.count("to_node").alias(f"o{c}"))
+    a = steps.where("to_node is not null").select(F.col("from_node").alias("start"), F.col("to_node").alias("middle"), "fact_id", "doc_id")
+    for keys, c in ((key[:1], ""), (key[:2], "_f"), (["middle", "doc_id"], "_d"), (key, "_fd")):
+        a = a.join(of(keys, c), keys, "left")
+    n = {c: F.coalesce(c, F.lit(0)) for c in ("n", "o", "n_f", "o_f", "n_d", "n_fd")}
+    per = a.select("start", (n["n"] - n["n_f"]).alias("p"), (n["o"] - n["o_f"]).alias("e"), (n["n"] - n["n_d"] - n["n_f"] + n["n_fd"]).alias("t"))
+    return per.groupBy("start").agg(F.sum("p").alias("n_paths"), F.sum("e").alias("n_open"), F.sum("t").alias("n_two_documents")).where("n_paths > 0")
 
 
 def uniform(*parts: Column) -> Column:
@@ -51,17 +73,22 @@ def sample_walks(starts: DataFrame, weighted: DataFrame, walks: int, steps: int,
     """(start, walk, depth, fact_ids, end): ``walks`` sampled walks from each start of at most ``steps`` steps.
 
     Each step is a join on the current node with the cumulative probabilities of its edges; the edge
-    is the first whose cumulative probability exceeds the hash-derived draw. A fact is never used
-    twice: a walk that draws a used fact stays where it is.
+    is the first whose cumulative probability exceeds the hash-derived draw. The range of a node is cut
+    into as many parts as it has edges and the part is in the join key, so a draw at a hub meets few
+    edges. A fact is never used twice: a walk that draws a used fact stays where it is.
     """
     w = Window.partitionBy("from_node").orderBy("fact_id", "direction", F.coalesce("to_node", F.lit("")))
     upper = F.sum("p").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    edges = weighted.where("p > 0").withColumn("_hi", upper).withColumn("_lo", F.col("_hi") - F.col("p")).select(F.col("from_node").alias("node"), F.col("fact_id").alias("_fact"), F.col("to_node").alias("_to"), "_lo", "_hi")
-    total = edges.groupBy("node").agg(F.max("_hi").alias("_all"))
+    edges = weighted.where("p > 0").withColumn("_hi", upper).withColumn("_lo", F.coalesce(F.lag("_hi").over(w), F.lit(0.0))).select(F.col("from_node").alias("node"), F.col("fact_id").alias("_fact"), F.col("to_node").alias("_to"), "_lo", "_hi")
+    total = edges.groupBy("node").agg(F.max("_hi").alias("_all"), F.count("*").alias("_n"))
+    part = lambda c: F.least(F.floor(F.col(c) * F.col("_n") / F.col("_all")), F.col("_n") - 1)
+    edges = edges.join(total, "node").select("node", F.explode(F.sequence(part("_lo"), part("_hi"))).alias("_part"), "_fact", "_to", "_lo", "_hi")
     state = starts.select(F.col("node").alias("start"), F.explode(F.sequence(F.lit(0), F.lit(walks - 1))).alias("walk"), F.col("node"), F.array().cast("array<string>").alias("fact_ids"))
     for depth in range(steps):
         drawn = state.join(total, "node", "left").withColumn("_u", uniform(F.lit(seed), F.col("start"), F.col("walk"), F.lit(depth)) * F.col("_all"))
-        hit = drawn.join(edges, "node", "left").where("_u is null or (_u >= _lo and _u < _hi)")
+        drawn = drawn.withColumn("_part", part("_u")).drop("_all", "_n")
+        at = edges.select(F.col("node").alias("_node"), F.col("_part").alias("_at"), "_fact", "_to", "_lo", "_hi")
+        hit = drawn.join(at, (F.col("node") == F.col("_node")) & (F.col("_part") == F.col("_at")) & (F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi")), "left")
         fresh = F.col("_fact").isNotNull() & ~F.array_contains("fact_ids", F.coalesce("_fact", F.lit("")))
         state = hit.select("start", "walk", F.when(fresh, F.col("_to")).otherwise(F.col("node")).alias("node"), F.when(fresh, F.array_append("fact_ids", F.col("_fact"))).otherwise(F.col("fact_ids")).alias("fact_ids"))
     return state.select("start", "walk", F.size("fact_ids").alias("depth"), "fact_ids", F.col("node").alias("end"))

@@ -11,7 +11,7 @@ from quillgraph.operators import identity as I
 from quillgraph.operators import walks as W
 from quillgraph.operators.retrieval import similarity_edges
 from quillgraph.plans.text import sql_collapse, sql_role_inverse
-from quillgraph.session import read_table
+from quillgraph.session import materialize, read_table
 
 #: Relation labels that count as asked for in the walk queries.
 PRIORITY = ("was born in", "is located in", "was founded by", "worked for", "is a")
@@ -115,6 +115,18 @@ def _walk_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.select("fact_id", "doc_id", "direction", F.col("from_local").alias("from_node"), F.col("to_local").alias("to_node"), F.col("label").isin(wanted).alias("priority"), (F.col("doc_id") == F.substring_index("from_local", "#", 1)).alias("own"))
 
 
+def canonical_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The views between canonical nodes: records that identities join are one node, so a walk passes from article to article."""
+    wanted = [f"X {r} Y" for r in PRIORITY]
+    steps = O.steps(directed_views(spark, sf_dir), I.explicit_mapping(read_table(spark, sf_dir, "identities")))
+    return steps.withColumn("priority", F.coalesce(F.col("label").isin(wanted), F.lit(False)))
+
+
+def canonical_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = W.step_probabilities(canonical_steps(spark, sf_dir), EPSILON)
+    return p.select("from_node", "fact_id", "direction", F.round("p", 9).alias("p"))
+
+
 def blended_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = W.source_blend(W.step_probabilities(_walk_steps(spark, sf_dir), EPSILON), 0.5)
     return p.select("from_node", "fact_id", "direction", F.round("p_blended", 9).alias("p"))
@@ -126,6 +138,11 @@ def two_step_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.groupBy("start").agg(F.count("*").alias("n_paths"), F.count("end").alias("n_open"), F.count_if(F.col("doc1") != F.col("doc2")).alias("n_two_documents"))
 
 
+def canonical_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Simple two-step paths between canonical nodes, counted as in two_step_paths."""
+    return W.two_step_counts(canonical_steps(spark, sf_dir))
+
+
 def archive_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-step and two-step paths as archives: which a longer one without a new document replaces."""
     steps = _walk_steps(spark, sf_dir)
@@ -134,6 +151,14 @@ def archive_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.compact_archives(one.unionByName(two))
 
 
+def canonical_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """archive_compaction between canonical nodes; only a second step of the same article adds no document."""
+    steps = materialize(canonical_steps(spark, sf_dir), "steps")
+    one = steps.select(F.col("from_node").alias("owner"), F.col("fact_id").alias("id"), F.array("fact_id").alias("path"), F.array("doc_id").alias("docs")).distinct()
+    two = W.two_step_paths(steps, one_document=True).select(F.col("start").alias("owner"), F.concat_ws(">", "fact1", "fact2").alias("id"), F.array("fact1", "fact2").alias("path"), F.array("doc1").alias("docs")).distinct()
+    return W.compact_archives(one.unionByName(two))
+
+
 def fair_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The next chains to check per article, shared evenly between its records."""
     steps = _walk_steps(spark, sf_dir)
@@ -142,8 +167,8 @@ def fair_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sampled_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two-step walks from every record that has a priority edge, ten each."""
-    p = W.step_probabilities(_walk_steps(spark, sf_dir), EPSILON)
+    """Two-step walks from every canonical node that has a priority edge, ten each."""
+    p = materialize(W.step_probabilities(canonical_steps(spark, sf_dir), EPSILON), "steps")
     starts = p.where("priority").select(F.col("from_node").alias("node")).distinct()
     return W.sample_walks(starts, p, walks=10, steps=2)
 
@@ -182,7 +207,7 @@ QUERIES = {
     for f in (
         fact_validation, fact_routes, fact_report, entity_groups, mention_counts, context_facts, directed_views, view_labels, inverse_examples,
         missing_locals, pending_documents, fact_entity_edges, degree_report, graph_components, similar_pairs, transition_shares, dangling_orders,
-        edge_probabilities, blended_probabilities, two_step_paths, archive_compaction, fair_batch, sampled_walks, exact_names, name_merge,
+        edge_probabilities, blended_probabilities, two_step_paths, archive_compaction, canonical_probabilities, canonical_paths, canonical_archives, fair_batch, sampled_walks, exact_names, name_merge,
         explicit_entities, pagerank_suppliers,
     )
 }
@@ -197,6 +222,10 @@ _STEPS = f"""{_VIEWS}, steps AS (SELECT fact_id, doc_id, direction, from_local A
     np AS (SELECT *, count(*) FILTER (priority) OVER (PARTITION BY from_node) AS a, count(*) FILTER (NOT priority) OVER (PARTITION BY from_node) AS b FROM steps),
     prob AS (SELECT *, CASE WHEN a > 0 AND b > 0 THEN CASE WHEN priority THEN (1 - {EPSILON}::DOUBLE) / a ELSE {EPSILON}::DOUBLE / b END WHEN a > 0 THEN 1.0::DOUBLE / a ELSE 1.0::DOUBLE / b END AS p FROM np)"""
 _TWO = """two AS (SELECT x.from_node AS start, x.fact_id AS fact1, y.fact_id AS fact2, y.to_node AS e, x.doc_id AS doc1, y.doc_id AS doc2 FROM steps x JOIN steps y ON x.to_node = y.from_node WHERE x.fact_id <> y.fact_id)"""
+_NODES = """links AS (SELECT left_local AS a, right_local AS b FROM identities WHERE left_local IS NOT NULL AND right_local IS NOT NULL),
+    near AS (SELECT a, b FROM links UNION SELECT b, a FROM links), reach(v, r) AS (SELECT a, a FROM near UNION SELECT near.b, reach.r FROM reach JOIN near ON reach.v = near.a),
+    nodes AS (SELECT v, 'E_' || substr(sha256('{"root":"' || min(r) || '"}'), 1, 20) AS e FROM reach GROUP BY v)"""
+_CANONICAL = f"""{_NODES}, {_STEPS.replace("from_local AS from_node, to_local AS to_node,", "coalesce(a.e, from_local) AS from_node, coalesce(b.e, to_local) AS to_node,").replace("AS own FROM views", "AS own FROM views LEFT JOIN nodes a ON a.v = from_local LEFT JOIN nodes b ON b.v = to_local")}"""
 _FAULT = lambda cond, code: f"CASE WHEN coalesce({cond}, true) THEN '{code}' END"
 
 ORACLE_SQL = {
@@ -256,6 +285,10 @@ ORACLE_SQL = {
     "two_step_paths": f"WITH {_STEPS}, {_TWO} SELECT start, count(*) AS n_paths, count(e) AS n_open, count(*) FILTER (doc1 <> doc2) AS n_two_documents FROM two GROUP BY start",
     "archive_compaction": f"""WITH {_STEPS}, {_TWO}, t AS (SELECT DISTINCT start, fact1, fact2 FROM two WHERE doc1 = doc2)
         SELECT start AS owner, fact1 AS old, min(fact1 || '>' || fact2) AS new FROM t GROUP BY ALL""",
+    "canonical_probabilities": f"WITH RECURSIVE {_CANONICAL} SELECT from_node, fact_id, direction, round(p, 9) AS p FROM prob",
+    "canonical_paths": f"WITH RECURSIVE {_CANONICAL}, {_TWO} SELECT start, count(*) AS n_paths, count(e) AS n_open, count(*) FILTER (doc1 <> doc2) AS n_two_documents FROM two GROUP BY start",
+    "canonical_archives": f"""WITH RECURSIVE {_CANONICAL}, {_TWO}, t AS (SELECT DISTINCT start, fact1, fact2 FROM two WHERE doc1 = doc2)
+        SELECT start AS owner, fact1 AS old, min(fact1 || '>' || fact2) AS new FROM t GROUP BY ALL""",
     "fair_batch": f"""WITH {_STEPS}, q AS (SELECT DISTINCT doc_id AS query, from_node AS mention, fact_id AS path_id FROM steps),
         t AS (SELECT *, row_number() OVER (PARTITION BY query, mention ORDER BY path_id) AS turn FROM q), u AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY turn, mention) AS place FROM t)
         SELECT query, mention, path_id, turn, place FROM u WHERE place <= 20""",

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from quillgraph.functions.text import norm
 from quillgraph.operators import answers as A
 from quillgraph.operators import graph as G
+from quillgraph.operators import identity as I
 from quillgraph.operators import retrieval as R
 from quillgraph.operators import search as S
 from quillgraph.operators import walks as W
 from quillgraph.operators.references import spelled_id
-from quillgraph.plans.graph import PRIORITY, directed_views
+from quillgraph.plans.graph import PRIORITY, canonical_steps
 from quillgraph.plans.text import SQL_SPACE, sql_answer
 from quillgraph.session import read_table
 
@@ -124,13 +125,12 @@ def qa_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def question_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that the budgeted evidence search selects for every question, from the records it mentions."""
+    """Documents that the budgeted evidence search selects for every question, from the canonical nodes it mentions."""
     mentions = question_mentions(spark, sf_dir).withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "mention").orderBy("local_id")))
-    starts = mentions.where("rank <= 50").select(F.col("query_id").alias("query"), "mention", F.col("local_id").alias("node"), F.lit(1.0).alias("prior"), "rank")
-    wanted = [f"X {r} Y" for r in PRIORITY]
-    views = directed_views(spark, sf_dir)
-    steps = views.select(F.col("from_local").alias("from_node"), F.col("to_local").alias("to_node"), "fact_id", "direction", "label", "doc_id", F.coalesce(F.col("label").isin(wanted), F.lit(False)).alias("priority"))
-    return S.select_documents(S.search(starts, steps, S.priority_checker(wanted)))
+    known = I.explicit_mapping(read_table(spark, sf_dir, "identities"))
+    nodes = mentions.where("rank <= 50").join(known, "local_id", "left").groupBy(F.col("query_id").alias("query"), "mention", F.coalesce("entity_id", "local_id").alias("node")).agg(F.min("rank").alias("rank"))
+    starts = nodes.withColumn("prior", F.lit(1.0))
+    return S.select_documents(S.search(starts, canonical_steps(spark, sf_dir), S.priority_checker([f"X {r} Y" for r in PRIORITY])))
 
 
 

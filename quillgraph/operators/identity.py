@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from quillgraph.operators.graph import components, symmetric
 
 #: Members of a candidate component up to which the greedy merge runs in one task.
 COMPONENT_ROWS = 20_000
+#: Nearest records of a record that become its candidates.
+CANDIDATE_K = 12
 
 
 def type_group(type_: Column) -> Column:
@@ -41,6 +44,35 @@ def score_candidates(candidates: DataFrame, vectors: DataFrame, threshold: float
     return scored.drop("_vl", "_vr").where(F.col("score") >= threshold)
 
 
+def nearest_name_candidates(records: DataFrame, vectors: DataFrame, threshold: float, k: int = CANDIDATE_K) -> DataFrame:
+    """(left, right, score): each record with its ``k`` nearest of the same normalised name and type group, from ``threshold`` on.
+
+    Records of other names take no place among the k, so whatever equal-name pair is among the k
+    nearest of the whole type group is here too.
+    """
+    keyed = records.select("local_id", type_group(F.col("type")).alias("grp"), norm(F.col("name")).alias("name_key")).where("local_id is not null and name_key <> ''").distinct()
+    usable = keyed.join(vectors.select("local_id"), "local_id", "left_semi")
+    several = usable.groupBy("grp", "name_key").agg(F.count("*").alias("n")).where("n > 1")
+    rows = usable.join(several, ["grp", "name_key"], "left_semi").join(vectors.select("local_id", "v"), "local_id")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("local_id")
+        ids, m = pdf["local_id"].to_numpy(), np.array(pdf["v"].tolist(), dtype=float)
+        found = []
+        for start in range(0, len(ids), 1024):
+            s = np.round(m[start : start + 1024] @ m.T, 12)
+            here = np.arange(len(s))
+            s[here, start + here] = -np.inf
+            near = np.argsort(-s, axis=1, kind="stable")[:, :k]
+            score = np.take_along_axis(s, near, axis=1)
+            i, j = np.nonzero(score >= threshold)
+            a, b = start + i, near[i, j]
+            found.append(pd.DataFrame({"left": ids[np.minimum(a, b)], "right": ids[np.maximum(a, b)], "score": score[i, j]}))
+        return pd.concat(found).drop_duplicates(["left", "right"])
+
+    return rows.groupBy("grp", "name_key").applyInPandas(run, "left string, right string, score double").groupBy("left", "right").agg(F.max("score").alias("score"))
+
+
 def review_filter(candidates: DataFrame, records: DataFrame) -> DataFrame:
     """Marks why a candidate needs no review: equal names, incompatible types or one article."""
     side = lambda c: records.groupBy("local_id").agg(F.min("doc_id").alias(f"{c}_doc"), F.min("name").alias(f"{c}_name"), F.min("type").alias(f"{c}_type")).withColumnRenamed("local_id", c)
@@ -54,12 +86,13 @@ def review_filter(candidates: DataFrame, records: DataFrame) -> DataFrame:
     return both.withColumn("reason", reason)
 
 
-def greedy_merge(scored: DataFrame, threshold: float, conflict: Callable[[str, str], bool] | None = None) -> DataFrame:
+def greedy_merge(scored: DataFrame, threshold: float, conflict: Callable[[str, str], bool] | None = None, vectors: DataFrame | None = None) -> DataFrame:
     """(local_id, cluster): complete-link merge of candidates (left, right, score) in descending score.
 
     A merge depends only on candidates that touch the same clusters, so the components of the
     candidate graph are merged independently. ``conflict`` may forbid two records in one cluster; by
-    default records of one article (the text before ``#``) never meet.
+    default records of one article (the text before ``#``) never meet. With ``vectors`` (local_id, v)
+    the members of two clusters are compared by their vectors; without, only by known candidates.
     """
     edges = symmetric(scored, "left", "right")
     comp = components(edges)
@@ -84,7 +117,36 @@ def greedy_merge(scored: DataFrame, threshold: float, conflict: Callable[[str, s
                 members[keep] += members.pop(gone)
         return pd.DataFrame({"local_id": list(cluster), "cluster": list(cluster.values())})
 
-    return rows.groupBy("component").applyInPandas(run, "local_id string, cluster string")
+    if vectors is None:
+        return rows.groupBy("component").applyInPandas(run, "local_id string, cluster string")
+
+    def compare(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates(["left", "right"]).sort_values(["score", "left", "right"], ascending=[False, True, True], kind="stable")
+        cluster = {x: x for x in pd.unique(pdf[["left", "right"]].to_numpy().ravel())}
+        members = {x: [x] for x in cluster}
+        matrix = {x: np.array([v], dtype=float) for x, v in zip(known["local_id"], known["v"])}
+        articles = {x: {x.split("#")[0]} for x in cluster}
+        for a, b in zip(pdf["left"], pdf["right"]):
+            ca, cb = cluster[a], cluster[b]
+            if ca == cb:
+                continue
+            if conflict is None:
+                apart = not articles[ca].isdisjoint(articles[cb])
+            else:
+                apart = any(conflict(x, y) for x in members[ca] for y in members[cb])
+            # complete link over the members' vectors, each distinct vector once
+            if apart or np.round(matrix[ca] @ matrix[cb].T, 12).min() < threshold:
+                continue
+            keep, gone = sorted((ca, cb))
+            for x in members[gone]:
+                cluster[x] = keep
+            members[keep] += members.pop(gone)
+            articles[keep] |= articles.pop(gone)
+            matrix[keep] = np.unique(np.concatenate([matrix[keep], matrix.pop(gone)]), axis=0)
+        return pd.DataFrame({"local_id": list(cluster), "cluster": list(cluster.values())})
+
+    own = comp.select(F.col("vertex").alias("local_id"), F.col("component").alias("own")).join(vectors.select("local_id", "v"), "local_id")
+    return rows.groupBy("component").cogroup(own.groupBy("own")).applyInPandas(compare, "local_id string, cluster string")
 
 
 def explicit_mapping(identities: DataFrame) -> DataFrame:

@@ -184,8 +184,11 @@ def name_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     usable = ev.where("vector is not null and size(vector) = 64").where(F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x)))
     v = usable.groupBy(F.col("vector_key").alias("local_id")).agg(F.max_by("vector", F.struct("created_at", "vector")).alias("v")).select("local_id", unit(F.col("v")).alias("v"))
-    scored = I.score_candidates(I.exact_name_candidates(le), v, 0.8)
-    return I.greedy_merge(scored, 0.8)
+    v = materialize(v, "vectors")
+    # the star of a name stands on a record with a usable vector, else the whole name would be lost
+    star = I.score_candidates(I.exact_name_candidates(le.join(v, "local_id", "left_semi")), v, 0.8).select("left", "right", F.round("score", 12).alias("score"))
+    scored = star.unionByName(I.nearest_name_candidates(le, v, 0.8)).groupBy("left", "right").agg(F.max("score").alias("score"))
+    return I.greedy_merge(materialize(scored, "candidates"), 0.8, vectors=v)
 
 
 def explicit_entities(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -195,8 +195,8 @@ def add_participant_articles(selected: DataFrame, names: DataFrame, documents: D
     return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= budget.documents)
 
 
-def identity_routes(links: DataFrame, sources: DataFrame, most_hops: int = 4) -> DataFrame:
-    """(start, target, cost, route): cheapest identity route from each source, by rounds of relaxation.
+def identity_routes(links: DataFrame, sources: DataFrame, most_hops: int | None = None) -> DataFrame:
+    """(start, target, cost, route): cheapest identity route from each source, by rounds of relaxation until nothing improves.
 
     ``links(left, right, explicit, doc_id)``; cost compares (links that are not explicit, hops) in
     this order, ties by the route; a round keeps one best row a (start, target).
@@ -204,8 +204,14 @@ def identity_routes(links: DataFrame, sources: DataFrame, most_hops: int = 4) ->
     both = links.select(F.explode(F.array(F.struct(F.col("left").alias("a"), F.col("right").alias("b"), "explicit"), F.struct(F.col("right").alias("a"), F.col("left").alias("b"), "explicit"))).alias("l")).select("l.*").where("a <> b").groupBy("a", "b").agg(F.max("explicit").alias("explicit"))
     both = materialize(both, "links")
     best = sources.select(F.col("node").alias("start"), F.col("node").alias("target"), F.struct(F.lit(0).alias("weak"), F.lit(0).alias("hops"), F.array("node").alias("route")).alias("cost")).distinct()
-    for _ in range(most_hops):
+    hops = 0
+    while most_hops is None or hops < most_hops:
+        hops += 1
         step = best.join(both, F.col("target") == F.col("a")).where(~F.array_contains("cost.route", F.col("b")))
         step = step.select("start", F.col("b").alias("target"), F.struct((F.col("cost.weak") + (~F.col("explicit")).cast("int")).alias("weak"), (F.col("cost.hops") + 1).alias("hops"), F.array_append("cost.route", F.col("b")).alias("route")).alias("cost"))
-        best = materialize(best.unionByName(step).groupBy("start", "target").agg(F.min("cost").alias("cost")), "routes")
+        new = materialize(best.unionByName(step).groupBy("start", "target").agg(F.min("cost").alias("cost")), "routes")
+        changed = new.exceptAll(best).limit(1).count() > 0
+        best = new
+        if not changed:
+            break
     return best.select("start", "target", F.col("cost.weak").alias("n_weak"), F.col("cost.hops").alias("n_hops"), F.col("cost.route").alias("route"))

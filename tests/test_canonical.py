@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from quillgraph.operators import search as S
 from quillgraph.operators import walks as W
 from quillgraph.plans import graph, retrieval
 from tests.oracle import SF_DIR
@@ -36,3 +37,9 @@ def test_counts_equal_pairs_and_cross_articles(spark):
     pairs = W.two_step_paths(steps).groupBy("start").agg(F.count("*").alias("n_paths"), F.count("end").alias("n_open"), F.count_if(F.col("doc1") != F.col("doc2")).alias("n_two_documents"))
     counts = sorted(map(tuple, W.two_step_counts(steps).collect()))
     assert counts == sorted(map(tuple, pairs.collect())) and sum(r[3] for r in counts) > 0
+
+
+def test_identity_routes_have_no_hop_cap(spark):
+    links = spark.createDataFrame([(f"n{i}", f"n{i + 1}", True) for i in range(6)], "left string, right string, explicit boolean")
+    got = {r.target: r.n_hops for r in S.identity_routes(links, spark.createDataFrame([("n0",)], "node string")).collect()}
+    assert got == {f"n{i}": i for i in range(7)}

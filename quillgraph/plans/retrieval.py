@@ -124,12 +124,24 @@ def qa_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("n", F.round("exact_match", 9).alias("exact_match"), F.round("token_f1", 9).alias("token_f1"), "n_unknown")
 
 
+def start_nodes(mentions: DataFrame, known: DataFrame, most: int = 50) -> DataFrame:
+    """(query, mention, node, prior, rank): at most ``most`` canonical nodes of a mention, those with most records of the name first.
+
+    Names match in full, so the records that bear the name are what tells two nodes apart. Records are
+    counted per mention before questions are joined, as many questions hold a hot name.
+    """
+    bearers = mentions.select("mention", "local_id").distinct().join(known.select("local_id", "entity_id"), "local_id", "left")
+    nodes = bearers.groupBy("mention", F.coalesce("entity_id", "local_id").alias("node")).agg(F.count("*").alias("_n"))
+    w = Window.partitionBy("mention").orderBy(F.col("_n").desc(), "node")
+    ranked = nodes.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+    asked = mentions.select(F.col("query_id").alias("query"), "mention").distinct()
+    return asked.join(ranked, "mention").select("query", "mention", "node", F.lit(1.0).alias("prior"), "rank")
+
+
 def question_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that the budgeted evidence search selects for every question, from the canonical nodes it mentions."""
-    mentions = question_mentions(spark, sf_dir).withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "mention").orderBy("local_id")))
     known = I.explicit_mapping(read_table(spark, sf_dir, "identities"))
-    nodes = mentions.where("rank <= 50").join(known, "local_id", "left").groupBy(F.col("query_id").alias("query"), "mention", F.coalesce("entity_id", "local_id").alias("node")).agg(F.min("rank").alias("rank"))
-    starts = nodes.withColumn("prior", F.lit(1.0))
+    starts = start_nodes(question_mentions(spark, sf_dir), known)
     return S.select_documents(S.search(starts, canonical_steps(spark, sf_dir), S.priority_checker([f"X {r} Y" for r in PRIORITY])))
 
 

@@ -43,3 +43,10 @@ def test_identity_routes_have_no_hop_cap(spark):
     links = spark.createDataFrame([(f"n{i}", f"n{i + 1}", True) for i in range(6)], "left string, right string, explicit boolean")
     got = {r.target: r.n_hops for r in S.identity_routes(links, spark.createDataFrame([("n0",)], "node string")).collect()}
     assert got == {f"n{i}": i for i in range(7)}
+
+
+def test_starts_are_entities_not_records(spark):
+    mentions = spark.createDataFrame([("q", f"{i:03}#a", "ely") for i in range(80)] + [("q", f"9{i}#b", "ely") for i in range(3)], "query_id string, local_id string, mention string")
+    known = spark.createDataFrame([(f"{i:03}#a", "E_a") for i in range(80)] + [(f"9{i}#b", "E_b") for i in range(2)], "local_id string, entity_id string")
+    got = [(r.node, r["rank"]) for r in retrieval.start_nodes(mentions, known).orderBy("rank").collect()]
+    assert got == [("E_a", 1), ("E_b", 2), ("92#b", 3)]

@@ -5,14 +5,17 @@ digits and signs used as letters, and letters set apart by blanks or hyphens. It
 and letter-order-free word keys are hashed terms. A factorization machine scores windows of
 neighbouring words: linear weights plus the interaction of every two terms in the window, so
 that an insult weighs more beside an address or a group name than in a kennel report. A document
-scores as its worst window.
+scores as its worst window. What is abusive is learned from the marks alone; there is no word list.
 
 Marks are given to whole documents, so training is by multiple instances: a marked document
-teaches by its currently worst windows, an unmarked one by those most like abuse. Two
-halves of the marks judge each other first, and marks that are contradicted clearly (some are
-wrong) are left out of the final fit.
-The machine is fitted on at most ``LABEL_ROWS`` marked documents (hash-chosen if there are more), with
-unmarked ones up to ``FIT_ROWS`` as clean examples; every document is scored over its whole text.
+teaches by its currently worst windows, an unmarked one by those most like abuse. Some marks
+are wrong: two halves of the marked documents judge each other first, and each mark counts in the final
+fit by how well the other half's machine agrees with it. The same held-out scores set the
+threshold: the middle of the gap that separates the marks best (largest F1). A score is the logistic of the
+distance to it, so 0.5 is the threshold at every size.
+
+The machine is fitted on at most ``LABEL_ROWS`` marked documents and ``LABEL_CHARS`` characters
+(hash-chosen if there are more), in executor tasks; every document is scored over its whole text.
 
 Defined results: null, empty and wordless texts score 0; documents marked both ways count by the
 majority, ties as not abusive; without any mark of one kind every score is 0; a null source is reported as null;
@@ -27,37 +30,37 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.session import broadcast_if_small
+from quillgraph.session import broadcast_if_small, materialize
 
+#: Bounds of the marked sample the machine is fitted on.
 LABEL_ROWS = 20_000
-#: Documents to fit on where marks are fewer; the rest are unmarked, hash-chosen documents.
-FIT_ROWS = 8_000
+LABEL_CHARS = 64 << 20
 TERMS = 1 << 17
 RANK = 8
 #: Words of a block; a window is two neighbouring blocks.
 BLOCK = 6
+#: Value of a term in a window, so that a full window has length one.
+VALUE = (6 * BLOCK) ** -0.5
 ROUNDS = 3
-EPOCHS = 5
+EPOCHS = 4
 #: Marked documents a term must stand in to be learned.
 MIN_DOCUMENTS = 3
-#: An abusive mark needs a log-odds over the first bound from the other half's machine, once there are
-#: MIN_POSITIVE of them to judge by; a clean one a log-odds under the second.
-MIN_POSITIVE = 300
-DOUBT_ABUSIVE = -2.0
-DOUBT_CLEAN = 4.0
-THRESHOLD = 0.3
+#: Log-odds by which the other half must contradict a mark before it counts half.
+DOUBT = 1.0
+THRESHOLD = 0.5
 SEED = 7
 
 #: Letters of other scripts that look like Latin ones (fixed values).
 _LOOKS = dict(zip("авеёзкмнорсстухіјѕԁһӏԛԝ", "abee3kmhopcctyxijsdhlqw")) | dict(zip("αβεηικνορτυχω", "abenikvoptuxw"))
 _LOOKS |= {"ѵ": "v", "ү": "y", "ց": "g", "օ": "o", "ո": "n", "ı": "i", "ł": "l", "ø": "o", "đ": "d", "@": "a", "$": "s", "€": "e", "’": "'"}
 _TABLE = str.maketrans(_LOOKS)
-_INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁤⁪-⁯︀-️﻿]")
+_INVISIBLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u206a-\u206f\ufe00-\ufe0f\ufeff]")
 _DIGITS = str.maketrans("013457", "oieast")
 _APART = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*·][^\W_]){2,}(?![^\W_])")
 _SIGN_INSIDE = re.compile(r"(?<=[^\W\d_])[!|](?=[^\W\d_])")
@@ -78,56 +81,52 @@ def plain(text: str) -> str:
     return _APART.sub(lambda m: re.sub(r"[ .\-_*·]", "", m.group()), text)
 
 
-#: Words that often carry abuse, by kind (fixed values). They are a prior only: the machine learns what each kind weighs.
-_KINDS = {
-    "insult": "idiot moron cretin imbecile halfwit dumbass dipshit shithead bastard wanker tosser twat prick dickhead arsehole asshole scumbag slimeball loser parasite bitch whore slut "
-    "pig fool jerk scum creep trash vollidiot idiot arschloch wichser depp trottel connard cretin salope ordure cabron imbecil idiota gilipollas pendejo",
-    "slight": "stupid brainless worthless pathetic rotten disgusting filthy vile spineless useless ugly lying fucking bloody damned dreckige widerliches kompletter pauvre sale espece pedazo asqueroso",
-    "curse": "shit crap fuck fucked bullshit fresse verpiss scheisse merde gueule mierda puta joder",
-    "threat": "kill smash break knife beat burn burns die hurt stab throat bone teeth drag umbringen schlagen casser crever tuer partir mueras matar",
-    "sexual": "porn naked nude nudes tits breasts sucking cock anal cumshots hardcore xxx moaning dripping sluts uncensored screamed nackt nue desnuda",
-    "group": "vermin rats breed thief swamp disease animals inferior dirty ungeziefer vermine ratas",
-}
-
+def _keys(word: str) -> tuple[int, int]:
+    """Hashes of a word as it stands and of its letters without their order or repetition."""
+    if not word.isascii():
+        word = "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c))
+    if word.isdigit():
+        word = "0"
+    elif _HAS_DIGIT.search(word):
+        word = word.translate(_DIGITS)
+    key = xxhash.xxh64_intdigest(word)
+    return key, xxhash.xxh64_intdigest("~" + word[0] + "".join(sorted(set(word[1:])))) if len(word) > 3 else key
 
-def _bag(word: str) -> int:
-    return xxhash.xxh64_intdigest("~" + word[0] + "".join(sorted(set(word[1:]))))
 
+class Terms(dict):
+    """Numbers of words with their hashed keys, cached per task."""
 
-_KIND_OF_BAG = {_bag(w): xxhash.xxh64_intdigest("^" + kind) for kind, ws in _KINDS.items() for w in ws.split()}
-
+    LIMIT = 2_000_000
 
-class Terms(dict):
-    """Hashes of a word as it stands and of its letters without their order, or of the kind of abuse they spell, cached per task."""
-
-    def __missing__(self, word: str) -> tuple[int, int]:
-        w = word
-        if not w.isascii():
-            w = "".join(c for c in unicodedata.normalize("NFKD", w) if not unicodedata.combining(c))
-        if _HAS_DIGIT.search(w) and not w.isdigit():
-            w = w.translate(_DIGITS)
-        elif w.isdigit():
-            w = "0"
-        key = xxhash.xxh64_intdigest(w)
-        bag = _bag(w)
-        bag = _KIND_OF_BAG.get(bag, bag if len(w) > 3 else key)
-        if len(self) > 2_000_000:
+    def __init__(self) -> None:
+        super().__init__()
+        self._fresh: list[tuple[int, int]] = []
+        self._held = np.zeros((0, 2), np.uint64)
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self._held) + len(self._fresh)
+        self._fresh.append(_keys(word))
+        return n
+
+    def of(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Hashed terms (words, 3) of each text: word, pair with the next word, letter bag."""
+        if len(self) > self.LIMIT:
             self.clear()
-        self[word] = key, bag
-        return key, bag
-
-    def of(self, text: str | None) -> np.ndarray:
-        """Hashed terms (words, 3): word, pair with the next word, letter bag."""
-        found = [self[w] for w in _WORD.findall(plain(text))] if text else []
-        if not found:
-            return np.zeros((0, 3), np.int32)
-        pairs = np.array(found, dtype=np.uint64)
-        word, bag = pairs[:, 0], pairs[:, 1]
-        after = np.append(word[1:], np.uint64(0))
-        both = (word * _MIX) ^ (after + (word >> np.uint64(31)))
-        both *= _MIX
-        both ^= both >> np.uint64(32)
-        return (np.stack([word, both, bag], axis=1) % np.uint64(TERMS)).astype(np.int32)
+            self.__init__()
+        out = []
+        numbers = [np.array([self[w] for w in _WORD.findall(plain(t))] if t else [], np.int64) for t in texts]
+        if self._fresh:
+            self._held = np.concatenate([self._held, np.array(self._fresh, np.uint64)])
+            self._fresh = []
+        for n in numbers:
+            pairs = self._held[n]
+            word = pairs[:, 0]
+            after = np.append(word[1:], np.uint64(0))[: len(word)]
+            both = (word * _MIX) ^ (after + (word >> np.uint64(31)))
+            both *= _MIX
+            both ^= both >> np.uint64(32)
+            out.append((np.stack([word, both, pairs[:, 1]], axis=1) % np.uint64(TERMS)).astype(np.int32))
+        return out
 
 
 def windows(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -145,27 +144,30 @@ def windows(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 
 class Machine:
-    """Linear weights and factors of hashed terms."""
+    """Linear weights and factors of hashed terms; log-odds are counted from ``cut``."""
 
     def __init__(self) -> None:
         rng = np.random.default_rng(SEED)
-        self.bias = 0.0
+        self.bias = self.cut = 0.0
         self.w = np.zeros(TERMS, np.float32)
-        self.v = (0.01 * rng.standard_normal((TERMS, RANK))).astype(np.float32)
+        self.v = (0.1 * rng.standard_normal((TERMS, RANK))).astype(np.float32)
         self._gw = np.full(TERMS, 1e-2, np.float32)
         self._gv = np.full((TERMS, RANK), 1e-2, np.float32)
         self._gb = 1e-2
 
+    def forget(self, terms: np.ndarray) -> None:
+        self.w[terms] = 0
+        self.v[terms] = 0
+
     def table(self) -> np.ndarray:
-        """Per term: weight, factors, squared factors summed."""
-        return np.concatenate([self.w[:, None], self.v, (self.v * self.v).sum(axis=1, keepdims=True)], axis=1)
+        """Per term: weight, factors, squared factors summed, each times the value of a term."""
+        return np.concatenate([VALUE * self.w[:, None], VALUE * self.v, VALUE * VALUE * (self.v * self.v).sum(axis=1, keepdims=True)], axis=1)
 
-    @staticmethod
-    def score_sums(bias: float, s: np.ndarray) -> np.ndarray:
+    def score_sums(self, s: np.ndarray) -> np.ndarray:
         inner = s[:, 1 : 1 + RANK]
-        return bias + s[:, 0] + 0.5 * ((inner * inner).sum(axis=1) - s[:, 1 + RANK])
+        return self.bias - self.cut + s[:, 0] + 0.5 * ((inner * inner).sum(axis=1) - s[:, 1 + RANK])
 
-    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int, rng: np.random.Generator, rate: float = 0.15, decay: float = 2e-4) -> None:
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int, rng: np.random.Generator, rate: float = 0.3, decay: float = 1e-4) -> None:
         """Logistic loss by AdaGrad; ``x`` holds term rows padded with -1."""
         for _ in range(epochs):
             order = rng.permutation(len(x))
@@ -174,16 +176,17 @@ class Machine:
                 ids = x[rows]
                 there = ids >= 0
                 safe = np.where(there, ids, 0)
-                v = self.v[safe] * there[:, :, None]
+                v = self.v[safe] * there[:, :, None] * np.float32(VALUE)
                 total = v.sum(axis=1)
-                z = self.bias + (self.w[safe] * there).sum(axis=1) + 0.5 * ((total * total).sum(axis=1) - (v * v).sum(axis=(1, 2)))
-                g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows]) * weight[rows]
-                flat = ids[there]
-                gw = np.broadcast_to(g[:, None], ids.shape)[there]
-                gv = (g[:, None, None] * (total[:, None, :] - v))[there]
-                used, back = np.unique(flat, return_inverse=True)
-                dw = np.bincount(back, gw, len(used)).astype(np.float32) + decay * self.w[used]
-                dv = np.stack([np.bincount(back, gv[:, f], len(used)) for f in range(RANK)], axis=1).astype(np.float32) + decay * self.v[used]
+                z = self.bias + VALUE * (self.w[safe] * there).sum(axis=1) + 0.5 * ((total * total).sum(axis=1) - (v * v).sum(axis=(1, 2)))
+                g = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows]) * weight[rows]).astype(np.float32)
+                used, back = np.unique(ids[there], return_inverse=True)
+                by = np.argsort(back, kind="stable")
+                first = np.searchsorted(back[by], np.arange(len(used)))
+                gv = (np.float32(VALUE) * g[:, None, None] * (total[:, None, :] - v))[there][by]
+                gw = np.float32(VALUE) * np.broadcast_to(g[:, None], ids.shape)[there][by]
+                dw = np.add.reduceat(gw, first) + decay * self.w[used]
+                dv = np.add.reduceat(gv, first, axis=0) + decay * self.v[used]
                 self._gw[used] += dw * dw
                 self._gv[used] += dv * dv
                 self.w[used] -= rate * dw / np.sqrt(self._gw[used])
@@ -212,7 +215,7 @@ def _tails(owner: np.ndarray, joins: np.ndarray) -> np.ndarray:
     return ~joins & np.append(False, owner[1:] == owner[:-1])
 
 
-class _Marked:
+class Marked:
     """Marked documents as windows, with what training needs to know of each window."""
 
     def __init__(self, docs: list[np.ndarray], marks: np.ndarray):
@@ -222,35 +225,37 @@ class _Marked:
         self.first = np.searchsorted(self.owner, np.arange(len(docs)))
         self.blocks = np.diff(np.append(self.first, len(self.owner)))
         self.tails = _tails(self.owner, self.joins)
-        self.positive = marks == 1
+        self.positive = np.asarray(marks) == 1
         self.docs = docs
 
     def score(self, machine: Machine) -> np.ndarray:
-        return np.where(self.tails, -np.inf, Machine.score_sums(machine.bias, _window_sums(machine.table(), self.flat, self.starts, self.joins)))
+        return np.where(self.tails, -np.inf, machine.score_sums(_window_sums(machine.table(), self.flat, self.starts, self.joins)))
 
     def worst(self, machine: Machine) -> np.ndarray:
         return np.maximum.reduceat(self.score(machine), self.first)
 
-    def fit(self, use: np.ndarray) -> Machine | None:
-        """A machine fitted on the documents in ``use``, or None if a kind of mark is missing there."""
-        positive, owner = self.positive, self.owner
+    def fit(self, trust: np.ndarray) -> Machine | None:
+        """A machine fitted on the documents of positive trust, or None if a kind of mark is missing there."""
+        positive, owner, use = self.positive, self.owner, trust > 0
         if not (positive & use).any() or not (~positive & use).any():
             return None
         rng = np.random.default_rng(SEED)
         # start: log-odds of each term over documents
         counts = np.zeros((2, TERMS))
+        seen = np.zeros(TERMS)
         for d in np.flatnonzero(use):
-            counts[int(positive[d]), np.unique(self.docs[d])] += 1
-        n = counts.sum(axis=0)
-        odds = np.log((counts[1] + 0.1) / ((positive & use).sum() + 0.2)) - np.log((counts[0] + 0.1) / ((~positive & use).sum() + 0.2))
-        rare = n < MIN_DOCUMENTS
+            there = np.unique(self.docs[d])
+            counts[int(positive[d]), there] += trust[d]
+            seen[there] += 1
+        of = trust @ positive, trust @ ~positive
+        odds = np.log((counts[1] + 0.1) / (of[0] + 0.2)) - np.log((counts[0] + 0.1) / (of[1] + 0.2))
+        rare = seen < MIN_DOCUMENTS
         odds[rare] = 0
         start = np.zeros((TERMS, 2 + RANK), np.float32)
         start[:, 0] = np.clip(odds, -1, 4)
         score = np.where(self.tails, -np.inf, _window_sums(start, self.flat, self.starts, self.joins)[:, 0])
         machine = Machine()
         for round_ in range(ROUNDS):
-            machine = Machine()
             order = np.lexsort((-score, owner))
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order)) - self.first[owner[order]]
@@ -263,52 +268,134 @@ class _Marked:
                 part = self.flat[self.starts[c] : self.until[c]]
                 x[j, : len(part)] = np.where(rare[part], -1, part)
             balance = min(20.0, max(1.0, (len(y) - y.sum()) / max(1.0, y.sum()) / 2))
-            machine.fit(x.reshape(len(chosen), -1), y, np.where(y == 1, balance, 1.0).astype(np.float32), EPOCHS, rng)
+            weight = np.where(y == 1, balance, 1.0) * trust[owner[chosen]]
+            machine = Machine()
+            machine.fit(x.reshape(len(chosen), -1), y, weight.astype(np.float32), EPOCHS, rng)
+            machine.forget(np.flatnonzero(rare))
             score = self.score(machine)
-        machine.w[rare] = 0
-        machine.v[rare] = 0
         return machine
 
 
-def train(texts: list[str | None], marks: np.ndarray) -> Machine | None:
-    """A machine fitted on marked documents, or None if a kind of mark is missing.
+def best_cut(scores: np.ndarray, positive: np.ndarray) -> float:
+    """The middle of the gap between held-out scores at which F1 is largest; ties go to the widest gap."""
+    order = np.argsort(-scores, kind="stable")
+    s, p = scores[order], positive[order]
+    hits = np.cumsum(p)
+    f1 = np.round(2 * hits / (np.arange(1, len(s) + 1) + p.sum()), 6)
+    gap = s - np.append(s[1:], s[-1] - 1)
+    f1[gap <= 0] = -1
+    best = np.flatnonzero(f1 == f1.max())
+    i = best[np.argmax(gap[best])]
+    return float(s[i] - min(gap[i], 4.0) / 2)
+
+
+def halves(n: int) -> np.ndarray:
+    return np.random.default_rng(SEED).permutation(n) % 2
 
-    Two halves judge each other first; marks that the other half's machine contradicts clearly are
-    left out of the final fit, because some marks are wrong.
-    """
-    terms = Terms()
-    docs = [terms.of(t) for t in texts]
+
+def prepared(texts: list[str | None], marks: np.ndarray) -> Marked | None:
+    """Marked documents with words, or None if they hold one kind of mark only."""
+    docs = Terms().of(texts)
     keep = [i for i, d in enumerate(docs) if len(d)]
     docs, marks = [docs[i] for i in keep], np.asarray(marks)[keep]
     if not len(docs) or marks.min() == marks.max():
         return None
-    data = _Marked(docs, marks)
-    use = np.ones(len(docs), bool)
-    many = data.positive.sum() >= MIN_POSITIVE
-    for _ in range(2 if not many else 1):  # with few marks a second look finds more of the unmarked abuse
-        half = np.random.default_rng(SEED).permutation(len(docs)) % 2 == 0
-        kept = np.ones(len(docs), bool)
-        for one in (half, ~half):
-            judge = data.fit(one & use)
-            if judge is not None:
-                worst = data.worst(judge)
-                kept &= one | np.where(data.positive, (worst > DOUBT_ABUSIVE) | (not many), worst < (DOUBT_CLEAN if many else DOUBT_CLEAN / 4))
-        use = kept
-    return data.fit(use) or data.fit(np.ones(len(docs), bool))
+    return Marked(docs, marks)
+
+
+def judged(data: Marked, half: int) -> np.ndarray:
+    """Log-odds of every document by a machine fitted on one half; NaN in that half."""
+    inside = halves(len(data.docs)) == half
+    machine = data.fit(inside.astype(np.float64))
+    if machine is None:
+        return np.full(len(data.docs), np.nan)
+    return np.where(inside, np.nan, data.worst(machine))
+
+
+def final(data: Marked, held_out: np.ndarray) -> Machine | None:
+    """The machine fitted on all marks, each weighted by the trust of the other half, with its threshold."""
+    known = ~np.isnan(held_out)
+    z = np.where(known, held_out, 0.0)
+    agrees = np.where(data.positive, z, -z)
+    trust = np.where(known, 1 / (1 + np.exp(-np.clip(agrees + DOUBT, -30, 30))), 0.5)
+    machine = data.fit(trust)
+    if machine is not None and data.positive[known].any():
+        machine.cut = best_cut(z[known], data.positive[known])
+    return machine
+
+
+def train(texts: list[str | None], marks: np.ndarray) -> Machine | None:
+    """A machine fitted on marked documents, or None if a kind of mark is missing."""
+    data = prepared(texts, marks)
+    if data is None:
+        return None
+    a, b = judged(data, 0), judged(data, 1)
+    return final(data, np.where(np.isnan(a), b, a))
+
+
+def _judge(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Held-out log-odds of the documents outside one half."""
+    pdf = pdf.sort_values("doc_id", kind="stable")
+    data = prepared(pdf["text"].tolist(), pdf["mark"].to_numpy())
+    if data is None:
+        return pd.DataFrame({"doc_id": pd.Series([], dtype="int64"), "held_out": pd.Series([], dtype="float64")})
+    z = judged(data, int(pdf["half"].iloc[0]))
+    worded = pdf["doc_id"].to_numpy()[[bool(_WORD.search(plain(t))) if t else False for t in pdf["text"]]]
+    return pd.DataFrame({"doc_id": worded, "held_out": z})[~np.isnan(z)]
+
+
+def _final(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The final machine as one row."""
+    pdf = pdf.sort_values("doc_id", kind="stable")
+    data = prepared(pdf["text"].tolist(), pdf["mark"].to_numpy())
+    machine = None
+    if data is not None:
+        worded = [bool(_WORD.search(plain(t))) if t else False for t in pdf["text"]]
+        machine = final(data, pdf["held_out"].to_numpy(np.float64)[worded])
+    if machine is None:
+        return pd.DataFrame({"bias": pd.Series([], dtype="float64"), "cut": pd.Series([], dtype="float64"), "weights": pd.Series([], dtype="object")})
+    return pd.DataFrame({"bias": [machine.bias], "cut": [machine.cut], "weights": [np.concatenate([machine.w[:, None], machine.v], axis=1).astype(np.float32).tobytes()]})
+
+
+def marked_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, text, mark) of the marked documents, at most LABEL_ROWS and LABEL_CHARS of them by the hash of their id."""
+    order = F.xxhash64("doc_id")
+    votes = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg((F.avg("toxic") > 0.5).cast("int").alias("mark"))
+    chosen = votes.orderBy(order, "doc_id").limit(LABEL_ROWS)
+    texts = documents.where("text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    marked = materialize(texts.join(broadcast_if_small(chosen, LABEL_ROWS), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("mark").alias("mark")), "marked")
+    room = marked.select("doc_id", F.sum(F.length("text")).over(Window.orderBy(order, "doc_id")).alias("_chars"))  # LABEL_ROWS rows at most
+    return marked.join(F.broadcast(room.where(F.col("_chars") <= LABEL_CHARS).select("doc_id")), "doc_id", "left_semi")
+
+
+def fitted(documents: DataFrame, labels: DataFrame) -> Machine | None:
+    """The machine fitted in executor tasks, or None if a kind of mark is missing. Its size depends on TERMS and RANK only."""
+    marked = marked_documents(documents, labels)
+    twice = marked.withColumn("half", F.explode(F.array(F.lit(0), F.lit(1))))
+    held = twice.groupBy("half").applyInPandas(_judge, "doc_id bigint, held_out double")
+    row = marked.join(held, "doc_id", "left").withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(_final, "bias double, cut double, weights binary").collect()
+    if not row:
+        return None
+    machine = Machine()
+    weights = np.frombuffer(row[0]["weights"], np.float32).reshape(TERMS, 1 + RANK)
+    machine.bias, machine.cut, machine.w, machine.v = row[0]["bias"], row[0]["cut"], weights[:, 0], weights[:, 1:]
+    return machine
 
 
 def _score(machine: Machine | None):
     table = None if machine is None else machine.table()
-    bias = 0.0 if machine is None else machine.bias
+    offset = 0.0 if machine is None else machine.bias - machine.cut
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms()
+        judge = Machine.__new__(Machine)
+        judge.bias, judge.cut = offset, 0.0
         for batch in batches:
             out = np.zeros(batch.num_rows)
             if table is not None and batch.num_rows:
-                flat, starts, owner, joins = windows([terms.of(t) for t in batch.column("text").to_pylist()])
+                flat, starts, owner, joins = windows(terms.of(batch.column("text").to_pylist()))
                 if len(flat):
-                    z = np.where(_tails(owner, joins), -np.inf, Machine.score_sums(bias, _window_sums(table, flat, starts, joins)))
+                    z = np.where(_tails(owner, joins), -np.inf, judge.score_sums(_window_sums(table, flat, starts, joins)))
                     first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
                     out[owner[first]] = 1 / (1 + np.exp(-np.clip(np.maximum.reduceat(z, first), -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(out)], names=["doc_id", "source", "score"])
@@ -316,30 +403,9 @@ def _score(machine: Machine | None):
     return run
 
 
-def marked_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, mark) of at most LABEL_ROWS marked documents, filled up to FIT_ROWS with unmarked ones.
-
-    Unmarked documents are mostly clean and stand in as such (mark 0); those that look abusive to
-    the other half are left out like a wrong mark.
-    """
-    votes = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg((F.avg("toxic") > 0.5).cast("int").alias("mark"))
-    chosen = votes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABEL_ROWS)
-    marked = documents.select("doc_id", "text").join(broadcast_if_small(chosen, LABEL_ROWS), "doc_id").limit(LABEL_ROWS)
-    want = FIT_ROWS - chosen.count()
-    if want <= 0:
-        return marked
-    total = max(1, documents.count())
-    share = min(1.0, want / total)
-    rest = documents.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_000)) < int(share * 1_000_000))
-    rest = rest.join(broadcast_if_small(chosen.select("doc_id"), LABEL_ROWS), "doc_id", "left_anti").limit(want)
-    return marked.unionByName(rest.withColumn("mark", F.lit(0)))
-
-
 def score_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, source, score) of every document."""
-    marked = marked_documents(documents, labels).toPandas().sort_values("doc_id", kind="stable")
-    machine = train(marked["text"].tolist(), marked["mark"].to_numpy()) if len(marked) else None
-    return documents.select("doc_id", "source", "text").mapInArrow(_score(machine), "doc_id bigint, source string, score double")
+    return documents.select("doc_id", "source", "text").mapInArrow(_score(fitted(documents, labels)), "doc_id bigint, source string, score double")
 
 
 def source_rates(scored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

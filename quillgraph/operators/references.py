@@ -17,23 +17,22 @@ Defined results: an empty reference table gives no rows; an empty target table m
 reference an orphan; repeated references are reported once each by ``dropDuplicates`` on the
 caller's columns; extra columns are dropped before the join, so clashing names do no harm.
 
-Shuffle: the targets are first reduced to one row a key with the list of its live spans, so a
-hot target never multiplies rows; the reference side is hot at most in one key, which AQE's
-skew join splits because the target side of that key is a single row.
+Shuffle: both tables are read once, whatever the number of masks. Each reference carries its mask
+as a join column; targets are written once with one row for every mask, key and disjoint live span (spans
+that touch are united), so a reference meets at most one row and a hot target never
+multiplies work. A hot reference is on the side that AQE's skew join can split.
 """
 
 from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RULES = ("simple", "partial", "full")
-
+from quillgraph.session import materialize
 
-def _masks(n: int) -> list[tuple[bool, ...]]:
-    return list(product((True, False), repeat=n))
+RULES = ("simple", "partial", "full")
 
 
 def orphan_references(
@@ -53,47 +52,47 @@ def orphan_references(
     if len(ref_keys) != len(target_keys) or not ref_keys:
         raise ValueError("ref_keys and target_keys must have the same, positive length")
     n = len(ref_keys)
+    ks = [f"_k{i}" for i in range(n)]
     refs = references.select(
         *[F.col(c).alias(c) for c in carry],
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(ref_keys)],
         (F.col(time).cast("timestamp") if time else F.lit(None).cast("timestamp")).alias("_time"),
-    )
-    bound = lambda c: (F.col(c).cast("timestamp") if c else F.lit(None).cast("timestamp"))
-    live = targets.select(*[F.col(k).alias(f"_t{i}") for i, k in enumerate(target_keys)], bound(live_from).alias("_from"), bound(live_until).alias("_until"))
-    out = None
-    for mask in _masks(n):  # mask[i]: column i is present
-        rows = refs.where(_is_mask(mask))
-        present = [i for i in range(n) if mask[i]]
-        if not present:
-            continue  # an all-null key refers to nothing under every rule
-        if len(present) < n and rule == "simple":
-            continue
-        if len(present) < n and rule == "full":
-            found = rows
-        else:
-            found = _unmatched(rows, live, present)
-        found = found.select(*carry, *[F.col(f"_k{i}").alias(ref_keys[i]) for i in range(n) if ref_keys[i] not in carry], F.lit("".join("1" if m else "0" for m in mask)).alias("ref_mask"))
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-def _is_mask(mask: tuple[bool, ...]) -> Column:
-    cond = F.lit(True)
-    for i, present in enumerate(mask):
-        cond = cond & (F.col(f"_k{i}").isNotNull() if present else F.col(f"_k{i}").isNull())
-    return cond
-
-
-def _unmatched(rows: DataFrame, live: DataFrame, present: list[int]) -> DataFrame:
-    """Anti-join on the present columns; the live span is part of the match."""
-    cond = F.lit(True)
-    target = live
-    for i in present:
-        target = target.where(F.col(f"_t{i}").isNotNull())
-        cond = cond & (F.col(f"_k{i}") == F.col(f"_t{i}"))
-    target = target.select(*[f"_t{i}" for i in present], "_from", "_until")
-    timed = F.col("_time").isNull() | ((F.col("_from").isNull() | (F.col("_from") <= F.col("_time"))) & (F.col("_until").isNull() | (F.col("_until") > F.col("_time"))))
-    return rows.join(target, cond & timed, "left_anti")
+    ).withColumn("ref_mask", F.concat(*[F.when(F.col(k).isNotNull(), "1").otherwise("0") for k in ks]))
+    refs = refs.where(F.col("ref_mask") != "0" * n)  # an all-null key refers to nothing under every rule
+    if rule == "simple":
+        refs = refs.where(F.col("ref_mask") == "1" * n)
+    masks = ["".join(m) for m in product("10", repeat=n) if "1" in m] if rule == "partial" else ["1" * n]
+    spans = live_spans(targets, target_keys, masks, live_from, live_until)
+    same = F.col("ref_mask") == F.col("_mask")
+    for i in range(n):
+        same = same & F.col(f"_k{i}").eqNullSafe(F.col(f"_t{i}"))
+    alive = F.col("_time").isNull() | ((F.col("_from") <= F.col("_time")) & (F.col("_until") > F.col("_time")))
+    found = refs.join(spans, same & alive, "left_anti")
+    return found.select(*carry, *[F.col(f"_k{i}").alias(ref_keys[i]) for i in range(n) if ref_keys[i] not in carry], "ref_mask")
+
+
+_EVER = ("0001-01-01 00:00:00", "9999-12-31 00:00:00")
+
+
+def live_spans(targets: DataFrame, keys: list[str], masks: list[str], live_from: str | None, live_until: str | None) -> DataFrame:
+    """(_mask, _t0.., _from, _until): disjoint live spans of every key under every mask; absent columns are null.
+
+    A key keeps a row even if it is never live, because references without time need existence only.
+    """
+    t = [f"_t{i}" for i in range(len(keys))]
+    bound = lambda c, open_: F.coalesce(F.col(c).cast("timestamp"), F.lit(open_).cast("timestamp")) if c else F.lit(open_).cast("timestamp")
+    live = targets.select(*[F.col(k).alias(x) for k, x in zip(keys, t)], bound(live_from, _EVER[0]).alias("_from"), bound(live_until, _EVER[1]).alias("_until"))
+    each = live.withColumn("_mask", F.explode(F.array(*[F.lit(m) for m in masks])))
+    each = each.select("_mask", "_from", "_until", *[F.when(F.substring("_mask", i + 1, 1) == "1", F.col(x)).alias(x) for i, x in enumerate(t)])
+    for i, x in enumerate(t):  # a target null in a present column matches no reference
+        each = each.where((F.substring("_mask", i + 1, 1) == "0") | F.col(x).isNotNull())
+    longest = each.groupBy("_mask", *t, "_from").agg(F.max("_until").alias("_until"))
+    if live_from is None and live_until is None:
+        return materialize(longest, "targets")
+    before = Window.partitionBy("_mask", *t).orderBy("_from")
+    fresh = F.coalesce(F.col("_from") > F.max("_until").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    islands = longest.withColumn("_fresh", fresh).withColumn("_island", F.sum(F.col("_fresh").cast("int")).over(before))
+    return materialize(islands.groupBy("_mask", *t, "_island").agg(F.min("_from").alias("_from"), F.max("_until").alias("_until")).drop("_island"), "targets")
 
 
 #: Characters with the Unicode property White_Space.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillgraph.operators import references
 from quillgraph.session import read_table
@@ -16,7 +17,14 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references.orphan_report(p3_found(spark, sf_dir))
 
 
-QUERIES = {"p3_found": p3_found, "p3_report": p3_report}
+def p3_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts whose (article, object) names no entity record; a literal's object is null, so it refers to the article alone (MATCH PARTIAL)."""
+    facts, entities = (read_table(spark, sf_dir, t) for t in ("facts", "local_entities"))
+    refs = facts.select("fact_id", "doc_id", "object_local", references.month_of(F.col("extracted_at")).alias("ref_month")).distinct()
+    return references.orphan_references(refs, entities, ["doc_id", "object_local"], ["doc_id", "local_id"], ["fact_id", "ref_month"], rule="partial")
+
+
+QUERIES = {"p3_found": p3_found, "p3_report": p3_report, "p3_composite": p3_composite}
 
 _FOUND = r"""
     WITH refs AS (
@@ -38,4 +46,10 @@ _FOUND = r"""
 ORACLE_SQL = {
     "p3_found": _FOUND,
     "p3_report": f"SELECT ref_table, ref_month, count(*) AS n_orphans, count(DISTINCT doc_id) AS n_documents FROM ({_FOUND}) GROUP BY ref_table, ref_month",
+    "p3_composite": """
+        SELECT DISTINCT fact_id, coalesce(strftime(extracted_at, '%Y-%m'), 'none') AS ref_month, doc_id, object_local,
+               if(doc_id IS NULL, '0', '1') || if(object_local IS NULL, '0', '1') AS ref_mask
+        FROM facts f
+        WHERE (doc_id IS NOT NULL OR object_local IS NOT NULL) AND NOT EXISTS (
+            SELECT 1 FROM local_entities e WHERE (f.doc_id IS NULL OR e.doc_id = f.doc_id) AND (f.object_local IS NULL OR e.local_id = f.object_local))""",
 }

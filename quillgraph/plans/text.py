@@ -70,23 +70,30 @@ def sql_collapse(c: str) -> str:
     return f"trim(regexp_replace({c}, '{SQL_SPACE}+', ' ', 'g'))"
 
 
-_P = T._PUNCTUATION.replace("'", "''")
-
-
 def sql_answer(c: str) -> str:
-    return "list_filter(regexp_split_to_array(translate(lower(" + c + "), '" + _P + "', ''), '" + SQL_SPACE + "+'), lambda t: t NOT IN ('', 'a', 'an', 'the'))"
-
+    bare = f"regexp_replace(lower({c}), '[!-/:-@\\[-`{{-~]', '', 'g')"
+    return f"list_filter(regexp_split_to_array({bare}, '{SQL_SPACE}+'), lambda t: t NOT IN ('', 'a', 'an', 'the'))"
 
 
 def sql_role_inverse(c: str) -> str:
+    """Kinship inverse in SQL, read from the ends of the label; role words are composed here, not taken from the code."""
     r = f"lower({sql_collapse(c)})"
-    p0, p1, p2 = T.ROLE_PATTERNS
+    own = f"({r} LIKE 'has %' OR {r} LIKE 'had %')"
+    past = f"({r} LIKE 'was %' OR {r} LIKE 'had %')"
+    be = f"({r} LIKE '% of' OR {r} LIKE '% to')"
+    phrase = f"regexp_replace(regexp_replace(CASE WHEN {own} THEN {r} ELSE left({r}, -3) END, '^(is|was|has|had) ', ''), '^(a|an|the) ', '')"
+    roles = (
+        "(['wife','husband','spouse','brother','sister','sibling','uncle','aunt','nephew','niece'] || "
+        "flatten([[g || x for x in ['father','mother','parent','son','daughter','child']] for g in ['','grand','great-grand']]))"
+    )
+    order = "(['first','second','third','fourth','fifth','sixth','seventh','eighth'] || ['eldest','oldest','elder','older','youngest','younger'] || ['full','half','only','maternal','paternal','biological','adoptive'])"
+    kin = f"list_contains({roles}, list_last(string_split({phrase}, ' '))) AND len(list_filter(string_split({phrase}, ' ')[:-2], lambda m: NOT list_contains({order}, m))) = 0"
     return f"""CASE
-        WHEN regexp_matches({r}, '{p0}') THEN (CASE WHEN regexp_extract({r}, '{p0}', 1) = 'was' THEN 'was' ELSE 'is' END)
-            || (CASE WHEN regexp_extract({r}, '{p0}', 2) IN ('mother', 'father', 'parent') THEN ' child of' ELSE ' parent of' END)
-        WHEN regexp_matches({r}, '{p1}') THEN (CASE WHEN regexp_extract({r}, '{p1}', 1) = 'was' THEN 'had as ' ELSE 'has as ' END) || regexp_extract({r}, '{p1}', 2)
-        WHEN regexp_matches({r}, '{p2}') THEN (CASE WHEN regexp_extract({r}, '{p2}', 1) = 'had' THEN 'was ' ELSE 'is ' END) || regexp_extract({r}, '{p2}', 2) || ' of'
-        END"""
+        WHEN NOT ({own} OR {be}) OR NOT ({kin}) THEN NULL
+        WHEN {own} THEN if({past}, 'was ', 'is ') || {phrase} || ' of'
+        WHEN {r} LIKE '% of' AND {phrase} IN ('mother', 'father', 'parent') THEN if({past}, 'was child of', 'is child of')
+        WHEN {r} LIKE '% of' AND {phrase} IN ('son', 'daughter', 'child') THEN if({past}, 'was parent of', 'is parent of')
+        ELSE if({past}, 'had as ', 'has as ') || {phrase} END"""
 
 
 ORACLE_SQL = {

@@ -3,7 +3,7 @@
 * ``read_table`` reads one parquet table of a scale folder.
 * ``materialize`` cuts lineage with a parquet table in the shared folder that the
   cluster names in ``spark.checkpoint.dir``; a machine-local folder is used only
-  where that setting is absent, as in tests.
+  in local mode with that setting absent, as in tests; a cluster without it is an error.
 * ``broadcast_if_small`` broadcasts a side only after its size was checked; a
   larger side stays an ordinary join input, so AQE picks the join.
 """
@@ -51,6 +51,9 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="quillgraph-")

@@ -77,8 +77,9 @@ def convert_twowiki(rows: DataFrame) -> Converted:
 
 
 def convert_musique(rows: DataFrame) -> Converted:
-    """Rows (id, question, answer, answer_aliases, paragraphs[{idx, title, paragraph_text, is_supporting}], question_decomposition[{paragraph_support_idx}]).
+    """Rows (id, question, answer, answer_aliases, paragraphs[{idx, title, paragraph_text, is_supporting}], question_decomposition[{paragraph_support_idx}][, answerable]).
 
+    Answers hold the answer alone; aliases, decomposition and the ids of all paragraphs go into metadata.
     Support is the paragraphs of the decomposition steps, in order, then the marked ones; a step that
     names an absent paragraph is an error.
     """
@@ -91,11 +92,16 @@ def convert_musique(rows: DataFrame) -> Converted:
     steps = numbered.select(F.col("id").alias("query_id"), F.posexplode("question_decomposition").alias("pos", "d")).select("query_id", "pos", F.col("d.paragraph_support_idx").alias("idx")).where("idx is not null")
     named = steps.join(para.select("query_id", "idx", "doc_id"), ["query_id", "idx"], "left")
     named = named.select("query_id", F.when(F.col("doc_id").isNull(), F.raise_error(F.lit("a decomposition step names an absent paragraph"))).otherwise(F.col("doc_id")).alias("doc_id"), F.struct(F.lit(0).alias("tier"), F.col("pos").alias("at")).alias("place"))
+    context = para.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "doc_id"))), lambda x: x["doc_id"]).alias("context_doc_ids"))  # the paragraphs of one question
     marked = para.where("marked").select("query_id", "doc_id", F.struct(F.lit(1).alias("tier"), F.col("idx").alias("at")).alias("place"))
     questions = (
         numbered.select(
-            F.col("id").alias("query_id"), "question", F.array_distinct(F.concat(answer_list(F.col("answer")), F.coalesce("answer_aliases", F.array().cast("array<string>")))).alias("answers"), F.lit("{}").alias("metadata")
+            F.col("id").alias("query_id"), "question", answer_list(F.col("answer")).alias("answers"),
+            F.coalesce("answer_aliases", F.array().cast("array<string>")).alias("answer_aliases"), "question_decomposition", (F.col("answerable") if "answerable" in rows.columns else F.lit(None).cast("boolean")).alias("answerable"),
         )
+        .join(context, "query_id", "left")
+        .withColumn("metadata", F.to_json(F.struct(F.lit("musique").alias("dataset"), "answerable", "answer_aliases", "question_decomposition", "context_doc_ids"), {"ignoreNullFields": "false"}))
+        .drop("answerable", "answer_aliases", "question_decomposition", "context_doc_ids")
         .join(_support(named.unionByName(marked)), "query_id", "left")
         .withColumn("supporting_doc_ids", F.coalesce("supporting_doc_ids", F.array().cast("array<string>")))
     )

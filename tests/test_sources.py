@@ -58,7 +58,10 @@ def test_convert_musique(spark):
     row = ("q", "?", "A", ["B", "A"], [(0, "T", "x", True), (1, "U", "y", False), (2, "V", "z", True)], [(1,), (0,)])
     done = C.convert_musique(spark.createDataFrame([row], schema))
     r = done.questions.first()
-    assert [d.split(":")[1] for d in r.supporting_doc_ids] == ["U", "T", "V"] and r.answers == ["A", "B"]
+    assert [d.split(":")[1] for d in r.supporting_doc_ids] == ["U", "T", "V"] and r.answers == ["A"]
+    meta = json.loads(r.metadata)
+    assert meta["answer_aliases"] == ["B", "A"] and meta["question_decomposition"] == [{"paragraph_support_idx": 1}, {"paragraph_support_idx": 0}]
+    assert [d.split(":")[1] for d in meta["context_doc_ids"]] == ["T", "U", "V"] and meta["answerable"] is None
 
 
 def test_sinks(spark, tmp_path):

@@ -2,6 +2,8 @@ import numpy as np
 import pytest
 
 from quillgraph.llm import packing as P
+from quillgraph.llm import queries as Q
+from tests.oracle import SF_DIR
 
 DOCS = "doc_id bigint, text string, source string, capacity string"
 CONF = "source string, pack_tokens int"
@@ -26,6 +28,26 @@ def test_every_constraint_holds_and_room_is_used(seed):
 def test_attention_capacity():
     where, _ = P.best_fit(np.full(10, 50), 100, attention=0.3)
     assert np.bincount(where).max() == 1
+    lengths = np.random.default_rng(4).integers(1, 900, 4000)
+    free, bound = (P.best_fit(lengths, 1000, attention=a)[0] for a in (1.0, P.ATTENTION_SHARE))
+    cost = lambda w: np.bincount(w, lengths.astype(float) ** 2)
+    assert not np.array_equal(free, bound)
+    first = np.zeros(bound.max() + 1)
+    np.maximum.at(first, bound, lengths)
+    assert (cost(bound) <= np.maximum(P.ATTENTION_SHARE * 1000**2, first**2 + P.ATTENTION_SHARE * (1000 - first) ** 2) + 1e-6).all()
+    assert (cost(free) > P.ATTENTION_SHARE * 1000**2).sum() > (cost(bound) > P.ATTENTION_SHARE * 1000**2).sum()
+
+
+def test_fill_over_whole_texts(spark):
+    """Every token of every text is in exactly one container, no capacity is exceeded and little room is left."""
+    packed = Q.p7_packed(spark, SF_DIR).cache()
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    total = sum(P.token_counts([r.text for r in docs.select("text").collect()]))
+    assert sum(r.n_tokens for r in packed.select("n_tokens").collect()) == total
+    assert P.broken_containers(packed).count() == 0
+    row = P.fill(packed).first()
+    assert row.n_containers <= 1.03 * total / row.capacity + 1
+    packed.unpersist()
 
 
 def test_documents(spark):

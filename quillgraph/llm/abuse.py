@@ -59,7 +59,7 @@ SEED = 7
 #: Letters of other scripts that look like Latin ones (fixed values).
 _LOOKS = dict(zip("авеёзкмнорсстухіјѕԁһӏԛԝ", "abee3kmhopcctyxijsdhlqw")) | dict(zip("αβεηικνορτυχω", "abenikvoptuxw"))
 _LOOKS |= {"ѵ": "v", "ү": "y", "ց": "g", "օ": "o", "ո": "n", "ı": "i", "ł": "l", "ø": "o", "đ": "d", "@": "a", "$": "s", "€": "e", "’": "'"}
-_TABLE = str.maketrans(_LOOKS)
+_LOOK = re.compile("[" + "".join(map(re.escape, _LOOKS)) + "]")
 _INVISIBLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u206a-\u206f\ufe00-\ufe0f\ufeff]")
 _DIGITS = str.maketrans("013457", "oieast")
 _APART = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*·][^\W_]){2,}(?![^\W_])")
@@ -75,7 +75,7 @@ def plain(text: str) -> str:
         text = html.unescape(text)
     if not text.isascii():
         text = unicodedata.normalize("NFKC", _INVISIBLE.sub("", text))
-    text = text.lower().translate(_TABLE)
+    text = _LOOK.sub(lambda m: _LOOKS[m.group()], text.lower())
     if "!" in text or "|" in text:
         text = _SIGN_INSIDE.sub("i", text)
     return _APART.sub(lambda m: re.sub(r"[ .\-_*·]", "", m.group()), text)

@@ -4,27 +4,31 @@ A text is the set of its runs of consecutive words. Its signature has one minimu
 ``segments x rows`` hash functions; two texts of similarity t differ in about (1 - t) of the
 positions, so "similarity at least t" becomes "Hamming distance at most tau" between signatures, with
 tau set ``SLACK`` standard deviations above the expectation at the threshold. The positions form a
-ring of segments of ``rows`` positions:
-
-1. a pair is met where one segment agrees completely (a join on the segment's key);
-2. in that join, the chain of the next ``CHAIN`` segments of the ring must stay within its
-   proportional budgets: the first l segments together differ in at most l * tau / segments positions,
-   for every l. The following positions travel with the key as four bits each, in one long;
+ring of segments of ``rows`` positions. If two signatures are within tau, some segment starts a
+chain whose first l segments together differ in at most l * tau / segments positions, for every l:
+
+1. a pair is met at every segment that differs within the budget of a chain of one: with
+   d = floor(tau / segments), a segment is posted once for every choice of d positions left out, under the
+   positions kept, so segments that differ in up to d positions share a key;
+2. in that join the chain of ``CHAIN`` segments from there on must stay within its proportional budgets;
+   its positions travel with the key as four bits each, in one long;
 3. survivors get the full Hamming check over all positions, then the exact similarity of the two
    texts decides.
 
-The filter loses a pair only by chance: at similarity exactly 0.5 about 0.3 %, at 0.6 below 0.01 %.
+Steps 1 and 2 lose no pair within tau. A pair of the threshold's similarity lies beyond tau only by chance of its
+signature: about 0.13 % at similarity exactly 0.5, under 0.01 % at 0.55.
 
 Exact copies (equal sets) are collapsed to one representative first, so a text copied into a third
-of all rows costs one signature. Pairs between members of small copy classes (up to
-``EXPAND_COPIES``) are written out; in a larger class each member is paired with its
-representative, the smallest id, and the representative stands for the class in pairs with others.
+of all rows costs one signature. ``document_pairs`` writes out the copies of small classes (up to
+``expand_copies``, None for all); in a larger class each member is paired with its
+representative, the smallest id, and the representative stands for the class in pairs with others;
+``membership`` names the class of every document with its copies and links.
 
 Defined results: null texts and texts with fewer words than a run are in no pair and no class;
 repeated rows of one id count once; very long texts are hashed in slices; an empty table gives an
 empty result; extra columns are ignored.
 
-Shuffles: one key row of 24 bytes per segment and distinct text; texts travel only for surviving
+Shuffles: one key row of 24 bytes for each posting of a distinct text; texts travel only for surviving
 candidates. No bucket is ever collected: hot keys are streamed by the sort-merge join.
 """
 
@@ -33,6 +37,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -44,19 +49,21 @@ from quillgraph.session import is_small, materialize
 
 SHINGLE = 5
 THRESHOLD = 0.8
-SEGMENTS = 48
+SEGMENTS = 32
 ROWS = 3
+#: Segments of a chain, its first one included; their positions fill one long.
 CHAIN = 5
-SLACK = 4.5
+SLACK = 3.0
+#: Size of a copy class up to which all its pairs are written out by default.
 EXPAND_COPIES = 64
-#: Ids up to which a set of ids is broadcast; beyond it the join shuffles.
+#: Ids (one long each) up to which a set of ids is broadcast; beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 SEED = 3
 _NIBBLES = 0x1111111111111111
 
 _POSITIONS = SEGMENTS * ROWS
 _LONGS = _POSITIONS * 4 // 64
-SIGNED = "doc_id bigint, n int, s1 bigint, s2 bigint, bands binary, " + ", ".join(f"g{i} bigint" for i in range(_LONGS))
+SIGNED = "doc_id bigint, n int, s1 bigint, s2 bigint, minima binary, " + ", ".join(f"g{i} bigint" for i in range(_LONGS))
 
 
 def budget(threshold: float, positions: int = _POSITIONS) -> float:
@@ -105,20 +112,15 @@ def _sign(shingle: int):
             if not ids:
                 continue
             m = np.stack(mins)
-            mixed = _scramble(m)
-            nibbles = (mixed >> np.uint64(20)) & np.uint64(15)
+            short = (_scramble(m) >> np.uint64(20)).astype(np.uint16)  # sixteen bits of each minimum, the lowest four for Hamming checks
+            nibbles = (short & np.uint16(15)).astype(np.uint64)
             packed = (nibbles.reshape(len(ids), _LONGS, 16) << (np.uint64(4) * np.arange(16, dtype=np.uint64))).sum(axis=2, dtype=np.uint64).view(np.int64)
-            seg = m.reshape(len(ids), SEGMENTS, ROWS)
-            key = seg[:, :, 0]
-            for r in range(1, ROWS):
-                key = _scramble(key) + seg[:, :, r]
-            bands = (_scramble(key) >> np.uint64(32)).astype(np.uint32)
             columns = [
                 pa.array(ids, pa.int64()),
                 pa.array(n, pa.int32()),
                 pa.array(np.array(s1, np.uint64).view(np.int64)),
                 pa.array(np.array(s2, np.uint64).view(np.int64)),
-                pa.array([b.tobytes() for b in bands], pa.binary()),
+                pa.array([b.tobytes() for b in short], pa.binary()),
                 *[pa.array(np.ascontiguousarray(packed[:, i])) for i in range(_LONGS)],
             ]
             yield pa.RecordBatch.from_arrays(columns, names=names)
@@ -131,21 +133,40 @@ def signatures(documents: DataFrame, shingle: int) -> DataFrame:
     return rows.mapInArrow(_sign(shingle), SIGNED)
 
 
-def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, doc, chain) per segment: its key and the four-bit positions of the next CHAIN segments."""
+def first_budget(tau: float) -> int:
+    """Positions in which the first segment of a chain may differ."""
+    return min(ROWS - 1, math.floor(tau / SEGMENTS))
+
+
+def _postings(tau: float):
+    """(key, doc, chain) per segment and choice of kept positions: slot and positions kept, and the four-bit positions of the chain."""
+    kept = list(combinations(range(ROWS), ROWS - first_budget(tau)))
     shift = np.uint64(4) * np.arange(CHAIN * ROWS, dtype=np.uint64)
-    ring = (ROWS * (np.arange(SEGMENTS)[:, None] + 1) + np.arange(CHAIN * ROWS)[None, :]) % _POSITIONS
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        doc = batch.column("doc_id").to_numpy()
-        bands = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.uint32).reshape(-1, SEGMENTS).astype(np.int64)
-        packed = np.stack([batch.column(f"g{i}").to_numpy().view(np.uint64) for i in range(_LONGS)], axis=1)
-        nibbles = ((packed[:, :, None] >> (np.uint64(4) * np.arange(16, dtype=np.uint64))) & np.uint64(15)).reshape(len(doc), _POSITIONS)
-        for a in range(0, len(doc), 2_000):
-            chain = (nibbles[a : a + 2_000][:, ring] << shift).sum(axis=2, dtype=np.uint64).view(np.int64)
-            key = (np.arange(SEGMENTS, dtype=np.int64) << 32)[None, :] | bands[a : a + 2_000]
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(doc[a : a + 2_000], SEGMENTS)), pa.array(chain.ravel())], names=["key", "doc", "chain"])
+    ring = (ROWS * np.arange(SEGMENTS)[:, None] + np.arange(CHAIN * ROWS)[None, :]) % _POSITIONS
+    slot = np.arange(SEGMENTS * len(kept), dtype=np.int64).reshape(SEGMENTS, len(kept)) << 32
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            doc = batch.column("doc_id").to_numpy()
+            minima = np.frombuffer(b"".join(batch.column("minima").to_pylist()), np.uint16).reshape(-1, _POSITIONS).astype(np.uint64)
+            for a in range(0, len(doc), 2_000):
+                part = minima[a : a + 2_000]
+                chain = ((part[:, ring] & np.uint64(15)) << shift).sum(axis=2, dtype=np.uint64).view(np.int64)
+                seg = part.reshape(-1, SEGMENTS, ROWS)
+                keys = np.empty((len(part), SEGMENTS, len(kept)), np.int64)
+                for c, positions in enumerate(kept):
+                    h = seg[:, :, positions[0]]
+                    for r in positions[1:]:
+                        h = (h << np.uint64(16)) | seg[:, :, r]
+                    keys[:, :, c] = slot[:, c] | ((_scramble(h + np.uint64(1)) >> np.uint64(32)).astype(np.int64) if len(positions) > 2 else h.astype(np.int64))
+                each = SEGMENTS * len(kept)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys.ravel()), pa.array(np.repeat(doc[a : a + 2_000], each)), pa.array(np.repeat(chain.ravel(), len(kept)))], names=["key", "doc", "chain"]
+                )
+
+    return run
 
 
 def _differing(a: Column, b: Column) -> Column:
@@ -160,10 +181,10 @@ def _differing(a: Column, b: Column) -> Column:
 def _chain_within(a: Column, b: Column, tau: float) -> Column:
     differ = _differing(a, b)
     ok = F.lit(True)
-    for extra in range(1, CHAIN + 1):
-        allowed = math.floor((extra + 1) * tau / SEGMENTS)
-        if allowed < extra * ROWS:
-            ok = ok & (F.bit_count(differ.bitwiseAND(F.lit((1 << (4 * extra * ROWS)) - 1))) <= allowed)
+    for length in range(1, CHAIN + 1):
+        allowed = math.floor(length * tau / SEGMENTS)
+        if allowed < length * ROWS:
+            ok = ok & (F.bit_count(differ.bitwiseAND(F.lit((1 << (4 * length * ROWS)) - 1))) <= allowed)
     return ok
 
 
@@ -215,7 +236,7 @@ class NearDuplicates:
 
     def _candidates(self, unique: DataFrame) -> DataFrame:
         tau = budget(self.threshold)
-        posted = unique.mapInArrow(_postings, "key bigint, doc bigint, chain bigint")
+        posted = unique.mapInArrow(_postings(tau), "key bigint, doc bigint, chain bigint")
         a = posted.select("key", F.col("doc").alias("a"), F.col("chain").alias("ca"))
         b = posted.select("key", F.col("doc").alias("b"), F.col("chain").alias("cb"))
         met = a.join(b, "key").where("a < b").where(_chain_within(F.col("ca"), F.col("cb"), tau)).select("a", "b").distinct()
@@ -236,13 +257,14 @@ class NearDuplicates:
         rows = candidates.join(ta.hint("shuffle_hash"), "a").join(tb.hint("shuffle_hash"), "b")
         return rows.mapInArrow(_verify(self.shingle, self.threshold), "a bigint, b bigint, similarity double").distinct()
 
-    def document_pairs(self) -> DataFrame:
+    def document_pairs(self, expand_copies: int | None = EXPAND_COPIES) -> DataFrame:
         """(doc_id_a, doc_id_b): pairs of documents, copies included as the module text says."""
-        small = self.copies.where(F.col("size") <= EXPAND_COPIES)
+        most = F.lit(expand_copies if expand_copies is not None else 2**62)
+        small = self.copies.where(F.col("size") <= most)
         member = lambda c: small.select(F.col("rep").alias(c), F.col("doc_id").alias(f"m{c}"))
         spread = self.pairs.join(member("a"), "a", "left").join(member("b"), "b", "left").select(F.coalesce("ma", "a").alias("x"), F.coalesce("mb", "b").alias("y"))
         inside = small.select("rep", F.col("doc_id").alias("x")).join(small.select("rep", F.col("doc_id").alias("y")), "rep").where("x < y").select("x", "y")
-        star = self.copies.where((F.col("size") > EXPAND_COPIES) & (F.col("doc_id") != F.col("rep"))).select(F.col("rep").alias("x"), F.col("doc_id").alias("y"))
+        star = self.copies.where((F.col("size") > most) & (F.col("doc_id") != F.col("rep"))).select(F.col("rep").alias("x"), F.col("doc_id").alias("y"))
         return spread.unionByName(inside).unionByName(star).select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
 
     def membership(self) -> DataFrame:

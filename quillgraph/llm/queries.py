@@ -57,6 +57,11 @@ def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.NearDuplicates(read_table(spark, sf_dir, "documents")).membership()
 
 
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document at the parameters of p5_found: class of exact copies, size of the class, links of its text to other texts."""
+    return neardup.NearDuplicates(read_table(spark, sf_dir, "documents"), shingle=3, threshold=0.5).membership()
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.neighbour_pairs(neighbours.nearest_neighbours(read_table(spark, sf_dir, "embedding_vectors")))
 
@@ -103,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_clusters": p4_clusters,
     "p5_found": p5_found,
     "p5_classes": p5_classes,
+    "p5_groups": p5_groups,
     "p6_found": p6_found,
     "p7_packed": p7_packed,
     "p7_fill": p7_fill,

@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from quillgraph.llm import neardup as N
 from quillgraph.llm.words import Hasher, words
@@ -63,14 +65,36 @@ def test_large_copy_class_is_a_star(spark):
     assert members[3] == (3, 0, N.EXPAND_COPIES + 10, 1) and members[500] == (500, 500, 1, 1)
 
 
-def test_chain_is_a_necessary_condition_in_hamming_space():
-    """Every pair within the budget has a start from which all chain prefixes stay within proportion."""
+def test_copies_can_be_written_out_in_full(spark):
+    rows = [(i, "same words in every copy") for i in range(N.EXPAND_COPIES + 6)] + [(500, "same words in every copy here")]
+    df = spark.createDataFrame([(i, x, "c", "c") for i, x in rows], DOCS)
+    assert {tuple(r) for r in N.NearDuplicates(df, 3, 0.5).document_pairs(expand_copies=None).collect()} == brute(rows, 3, 0.5)
+
+
+def met(a, b, tau):
+    """Whether two signatures share a posting whose chain stays within its budgets."""
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1, 2], pa.int64()), "minima": pa.array([a.tobytes(), b.tobytes()], pa.binary())})
+    rows = next(N._postings(tau)(iter([batch]))).to_pandas()
+    both = rows[rows.doc == 1].merge(rows[rows.doc == 2], on="key")
+    for x, y in zip(both.chain_x, both.chain_y):
+        d = [(int(x) >> 4 * i & 15) != (int(y) >> 4 * i & 15) for i in range(N.CHAIN * N.ROWS)]
+        if all(sum(d[: n * N.ROWS]) <= n * tau // N.SEGMENTS for n in range(1, N.CHAIN + 1)):
+            return True
+    return False
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.65, 0.8])
+def test_no_pair_within_the_hamming_budget_is_lost(threshold):
     rng = np.random.default_rng(0)
-    tau = N.budget(0.5)
-    for _ in range(200):
-        d = rng.multinomial(int(tau), np.ones(N.SEGMENTS) / N.SEGMENTS)
-        d = np.minimum(d, N.ROWS)
-        assert any(all(d[[(i + j) % N.SEGMENTS for j in range(length)]].sum() <= length * tau / N.SEGMENTS for length in range(1, N.CHAIN + 2)) for i in range(N.SEGMENTS))
+    tau = N.budget(threshold)
+    positions = N.SEGMENTS * N.ROWS
+    for trial in range(150):
+        a = rng.integers(0, 1 << 16, positions).astype(np.uint16)
+        b = a.copy()
+        # the hardest pairs: exactly at the budget, spread evenly or at random
+        at = rng.choice(positions, int(tau), replace=False) if trial % 2 else (np.arange(int(tau)) * positions // int(tau) + trial) % positions
+        b[at] ^= np.uint16(15)
+        assert met(a, b, tau)
 
 
 def test_minima_do_not_depend_on_slices():

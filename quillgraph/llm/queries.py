@@ -48,6 +48,11 @@ def p4_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolved.join(sizes, "cluster").select("local_id", "cluster", "n_records", "n_spellings")
 
 
+def p4_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every spelling of a cluster, by its smallest record, linked to the cluster's most frequent spelling; p4_clusters has the members."""
+    return names.spelling_pairs(names.resolve_names(read_table(spark, sf_dir, "local_entities")))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.NearDuplicates(read_table(spark, sf_dir, "documents"), shingle=3, threshold=0.5).document_pairs()
 
@@ -106,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_sizes": p2_sizes,
     "p4_found": p4_found,
     "p4_clusters": p4_clusters,
+    "p4_spellings": p4_spellings,
     "p5_found": p5_found,
     "p5_classes": p5_classes,
     "p5_groups": p5_groups,

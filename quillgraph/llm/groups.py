@@ -7,9 +7,10 @@ to it. The graph is shrunk before it is solved:
    share of the edges; each remembers its neighbour;
 2. chains of vertices of degree two are compressed to one edge between their ends by list
    ranking (pointer doubling over directed chain positions), so a chain of length L takes
-   log2(L) rounds; closed rings are recognised and labelled there;
+   log2(L) rounds; closed rings are done once a round changes none of their smallest keys;
 3. the reduced core is solved by hooking every vertex to its smallest neighbour and
-   contracting, which at least halves the vertices that still have edges in each round;
+   contracting, which at least halves the vertices that still have edges in each round, until at most
+   ``CORE_EDGES`` are left; one executor task unites those;
 4. labels are restored in the reverse order of removal.
 
 Scale: every step is an aggregation with map-side combine or a join in which one side has one
@@ -24,6 +25,7 @@ gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,8 @@ from quillgraph.session import discard, materialize
 #: A strip round that removes a smaller share of the edges is the last one before compression.
 STRIP_SHARE = 0.05
 MAX_STRIP_ROUNDS = 8
+#: Edges of the reduced core (two keys each) that one task may unite.
+CORE_EDGES = 500_000
 #: Strip and compress again while that removed at least this share of the edges.
 SHRINK_SHARE = 0.3
 
@@ -47,6 +51,27 @@ def _degrees(edges: DataFrame) -> DataFrame:
     return both.groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
 
 
+def _unite(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(v, parent): every vertex of a bounded edge list that is not the smallest of its group, with the smallest."""
+    keys, ends = pd.factorize(pd.concat([pdf["a"], pdf["b"]], ignore_index=True), sort=True)[::-1]
+    up = list(range(len(keys)))
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    half = len(ends) // 2
+    for x, y in zip(ends[:half].tolist(), ends[half:].tolist()):
+        x, y = root(x), root(y)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+    labels = [root(x) for x in range(len(keys))]
+    moved = [i for i, x in enumerate(labels) if x != i]
+    return pd.DataFrame({"v": keys[moved], "parent": keys[[labels[i] for i in moved]]})
+
+
 class _Solver:
     def __init__(self, edges: DataFrame):
         self.edges = materialize(edges, "edges")
@@ -78,20 +103,22 @@ class _Solver:
         at = step.select(F.explode(F.array(F.struct(F.col("u").alias("h"), F.col("lo").alias("t"), F.col("hi").alias("fh")), F.struct(F.col("u").alias("h"), F.col("hi").alias("t"), F.col("lo").alias("fh")))).alias("p")).select("p.h", "p.t", "p.fh", F.col("p.h").alias("ft"), F.least("p.h", "p.fh").alias("least"))
         inner = two.select(F.col("u").alias("fh"), F.lit(True).alias("_inner"))
         ranked = materialize(at.join(inner, "fh", "left").select("h", "t", "fh", "ft", "least", F.col("_inner").isNull().alias("done")), "rank")
-        reach = 1
-        open_positions = ranked.where("not done").count()
-        while open_positions and reach < open_positions:
+        waiting = ranked.where("not done").count()
+        moving = bool(waiting)
+        while moving:
             nxt = ranked.select(F.col("h").alias("fh"), F.col("t").alias("ft"), F.col("fh").alias("_fh"), F.col("ft").alias("_ft"), F.col("least").alias("_least"), F.col("done").alias("_done"))
             jumped = (
                 ranked.where("not done")
                 .join(nxt, ["fh", "ft"])
-                .select("h", "t", F.col("_fh").alias("fh"), F.col("_ft").alias("ft"), F.least("least", "_least").alias("least"), F.col("_done").alias("done"))
+                .select("h", "t", F.col("_fh").alias("fh"), F.col("_ft").alias("ft"), F.least("least", "_least").alias("least"), F.col("_done").alias("done"), (F.col("_least") < F.col("least")).alias("lower"))
             )
             old = ranked
-            ranked = materialize(ranked.where("done").unionByName(jumped), "rank")
+            ranked = materialize(ranked.where("done").withColumn("lower", F.lit(False)).select("h", "t", "fh", "ft", "least", "done", "lower").unionByName(jumped), "rank")
             discard(old)
-            reach *= 2
-            open_positions = ranked.where("not done").count()
+            state = ranked.agg(F.count_if(~F.col("done")).alias("open"), F.count_if("lower").alias("lower")).first()
+            # what stays open without an end in reach is a ring, and complete once no smallest key falls
+            moving = state["open"] > 0 and (state["open"] < waiting or state["lower"] > 0)
+            waiting = state["open"]
         ends = materialize(
             ranked.groupBy("h").agg(F.min(F.when(F.col("done"), F.col("fh"))).alias("e1"), F.max(F.when(F.col("done"), F.col("fh"))).alias("e2"), F.min("least").alias("ring")),
             "ends",
@@ -107,7 +134,7 @@ class _Solver:
 
     def solve_core(self) -> None:
         """Hook each vertex to its smallest neighbour, contract, and repeat until no edge is left."""
-        while self.n:
+        while self.n > CORE_EDGES:
             hook = _degrees(self.edges).select("u", F.least("u", "lo").alias("p"))
             up = hook.select(F.col("u").alias("p"), F.col("p").alias("pp"))
             jumped = materialize(hook.join(up, "p", "left").select("u", F.coalesce("pp", "p").alias("p")), "hook")
@@ -115,6 +142,9 @@ class _Solver:
             pa, pb = jumped.select(F.col("u").alias("a"), F.col("p").alias("pa")), jumped.select(F.col("u").alias("b"), F.col("p").alias("pb"))
             moved = self.edges.join(pa, "a").join(pb, "b").where("pa <> pb")
             self._replace(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+        if self.n:
+            whole = self.edges.select("a", "b").withColumn("_all", F.lit(0))
+            self.maps.append(materialize(whole.groupBy("_all").applyInPandas(_unite, "v string, parent string"), "core"))
 
     def restore(self) -> DataFrame | None:
         """(v, root) of every removed vertex, last removed first."""

@@ -52,6 +52,11 @@ def test_random(spark, seed):
     assert solve(spark, pairs) == brute(pairs)
 
 
+def test_core_by_contraction(spark, monkeypatch):
+    monkeypatch.setattr(G, "CORE_EDGES", 0)
+    assert solve(spark, SHAPES["clique and tail"]) == brute(SHAPES["clique and tail"])
+
+
 def test_only_local_entities_are_listed(spark):
     pairs = spark.createDataFrame([("0#seed", "b", 1.0, "x"), ("c", "c", 1.0, "x")], PAIRS)
     known = spark.createDataFrame([("b", "n"), ("b", "n"), ("c", "n"), ("z", "n"), (None, "n")], "local_id string, group_id string")

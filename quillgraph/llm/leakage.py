@@ -2,17 +2,19 @@
 
 1. One pass over the corpus sketches the range of the passage-by-term matrix: every task sums, for
    its passages P (blocks of ``BLOCK`` words), P^T (P W) for a random W, and the passage
-   frequency of every hashed term; the sums are added up per slice of terms. A second sketch
-   spans the evaluation items. Both, scaled by the inverse passage frequency, are orthonormalised to
-   the latent basis (randomised SVD range finder). Its size depends on the parameters only.
-2. A second pass projects windows of two neighbouring blocks of every document, and compares
-   each with the windows of all items by cosine: documents x items over ``COSINE`` are candidates.
-3. Each candidate is checked on the words themselves: the share of the item's distinct word runs
+   frequency of every hashed term. The partial sums are added in a tree of groups of at most ``FAN_IN``, per slice of
+   terms. From the sketch, scaled by the inverse passage frequency, come the singular vectors and values of the TF-IDF
+   matrix (randomised SVD by the Nystrom form of P^T P); those under ``LEAST_SINGULAR`` of the largest are cut off.
+2. The items' passages get the same SVD, for a benchmark may hold words that the corpus sketch does not reach. Both sets of
+   singular vectors are the latent basis. Its size depends on the parameters only.
+3. A second pass projects windows of two neighbouring blocks of every document and looks up the items' windows in an index
+   of about ``CELL`` windows a cell: it is compared with the windows of its ``PROBES`` nearest cells, with all of them in a
+   small benchmark. Documents x items over ``COSINE`` are candidates. The corpus is read once for ``ITEM_BLOCK`` items.
+4. Each candidate is checked on the words themselves: the share of the item's distinct word runs
    that the document contains, the longest common subsequence of words around the best window,
    and whether the item's answer stands in the document.
 
-The benchmark is a stated query set; it is processed in blocks of ``ITEM_BLOCK`` items, so its
-size is bounded at any time. Documents stay where they are: no document text is shuffled.
+The benchmark is a stated query set; no document text is shuffled.
 
 Defined results: null, empty and short documents give no row; an item of fewer than ``RUN`` words
 has no run and is never found verbatim; repeated item ids count as one item (smallest text);
@@ -31,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.llm.neighbours import kmeans
 from quillgraph.llm.words import Hasher, runs, words
 
 BLOCK = 12
@@ -43,7 +46,15 @@ SHARE = 0.35
 #: A paraphrase needs this cosine, this share of the item's words in common order, and the answer if there is one.
 PARAPHRASE_COSINE = 0.8
 PARAPHRASE_LCS = 0.6
-ITEM_BLOCK = 5_000
+#: Item windows of a cell of their index, and cells a document's window is compared with.
+CELL = 64
+PROBES = 16
+#: Singular values under this share of the largest are cut off.
+LEAST_SINGULAR = 1e-4
+#: Items held by every task at once; a larger benchmark is searched in several scans.
+ITEM_BLOCK = 50_000
+#: Partial sketches that one task adds up.
+FAN_IN = 64
 SLICE = 512
 SEED = 5
 
@@ -110,8 +121,27 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _add_parts(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = np.sum([np.frombuffer(p, np.float32).astype(np.float64) for p in pdf["part"]], axis=0)
-    return pd.DataFrame({"slice": pdf["slice"].iloc[:1].to_numpy(), "part": [total.tobytes()], "passages": [int(pdf["passages"].sum())]})
+    total = np.zeros(len(pdf["part"].iloc[0]) // 4, np.float64)
+    for p in pdf["part"]:
+        total += np.frombuffer(p, np.float32)
+    return pd.DataFrame({"slice": pdf["slice"].iloc[:1].to_numpy(), "part": [total.astype(np.float32).tobytes()], "passages": [int(pdf["passages"].sum())], "task": pdf["task"].iloc[:1].to_numpy()})
+
+
+def singular_vectors(products: np.ndarray, start: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Right singular vectors and values of P S from products = P^T P W, start = W and the diagonal S.
+
+    The Nystrom form of the randomised SVD: with Y = S P^T P W and the core C = W^T P^T P W, the factor B = Y C^(-1/2) has
+    B B^T close to S P^T P S, so the left singular vectors of B are the right ones of P S and its singular values are theirs.
+    """
+    y = products.astype(np.float64)
+    core = start.T.astype(np.float64) @ y
+    lam, v = np.linalg.eigh((core + core.T) / 2)
+    keep = lam > 1e-10 * max(float(lam.max(initial=0.0)), 1e-30)
+    if not keep.any():
+        return np.zeros((len(scale), 0)), np.zeros(0)
+    u, s, _ = np.linalg.svd(scale[:, None] * (y @ (v[:, keep] / np.sqrt(lam[keep]))), full_matrices=False)
+    kept = s > LEAST_SINGULAR * max(float(s.max(initial=0.0)), 1e-30)
+    return u[:, kept], s[kept]
 
 
 class Latent:
@@ -129,15 +159,49 @@ class Latent:
         flat, starts, owner, place = _blocks(ids)
         f = _terms(flat)
         idf = np.log((passages + 1) / (frequency + 1)).astype(np.float32) + 1e-3
-        spread = np.zeros((TERMS, ITEM_RANK), np.float32)
+        vectors, self.singular = singular_vectors(sketch, _random(CORPUS_RANK), idf)
+        start = np.random.default_rng(SEED + 1).standard_normal((TERMS, ITEM_RANK)).astype(np.float32)
+        products = np.zeros((TERMS, ITEM_RANK), np.float64)
         if len(f):
-            g = np.random.default_rng(SEED + 1).standard_normal((len(starts), ITEM_RANK)).astype(np.float32)
             block = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(f))))
-            np.add.at(spread, f, g[block])
-        both = [y / max(float(np.linalg.norm(y)), 1e-9) for y in (sketch, spread)]
-        basis, _ = np.linalg.qr(np.concatenate(both, axis=1) * idf[:, None])
+            np.add.at(products, f, np.add.reduceat(start[f], starts, axis=0)[block])
+        own, _ = singular_vectors(products, start, idf)
+        basis, _ = np.linalg.qr(np.concatenate([vectors, own], axis=1)) if len(self.singular) or own.shape[1] else (np.zeros((TERMS, 1)), None)
         self.embed = (idf[:, None] * basis).astype(np.float32)
         self.windows, self.window_item, _ = self.project(f, starts, owner, place)
+        self._index()
+
+    def _index(self) -> None:
+        """Item windows ordered by the cell of their nearest centroid."""
+        cells = max(1, len(self.windows) // CELL)
+        if cells <= PROBES:
+            self.centres, self.bounds = None, np.array([0, len(self.windows)])
+            return
+        self.centres = kmeans(self.windows, cells, 6, np.random.default_rng(SEED), spherical=True)
+        near = np.argmax(self.windows @ self.centres.T, axis=1)
+        order = np.argsort(near, kind="stable")
+        self.windows, self.window_item = np.ascontiguousarray(self.windows[order]), self.window_item[order]
+        self.bounds = np.searchsorted(near[order], np.arange(cells + 1))
+
+    def near(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, item window, cosine) over COSINE for some windows of documents."""
+        if self.centres is None:
+            sims = (w @ self.windows.T).ravel()
+            hit = np.flatnonzero(sims > COSINE)
+            return hit // max(1, len(self.windows)), hit % max(1, len(self.windows)), sims[hit]
+        to = w @ self.centres.T
+        cells = np.argpartition(-to, PROBES - 1, axis=1)[:, :PROBES]
+        flat = cells.ravel()
+        order = np.argsort(flat, kind="stable")
+        edge = np.searchsorted(flat[order], np.arange(len(self.centres) + 1))
+        out = []
+        for c in np.unique(flat):
+            rows = order[edge[c] : edge[c + 1]] // PROBES
+            a, z = self.bounds[c], self.bounds[c + 1]
+            sims = w[rows] @ self.windows[a:z].T
+            r, i = np.nonzero(sims > COSINE)
+            out.append((rows[r], i + a, sims[r, i]))
+        return tuple(np.concatenate(x) for x in zip(*out))
 
     def project(self, f: np.ndarray, starts: np.ndarray, owner: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Unit vectors of windows of two neighbouring blocks, their owners and first blocks."""
@@ -191,7 +255,6 @@ def _contains(ids: np.ndarray, phrase: tuple[int, ...]) -> bool:
 def _search(latent: Latent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        queries = np.ascontiguousarray(latent.windows.T)
         n_items = len(latent.item_id)
         for batch in batches:
             doc_id = batch.column("doc_id").to_pylist()
@@ -202,9 +265,8 @@ def _search(latent: Latent):
             w, owner, place = latent.project(_terms(flat), starts, owner, place)
             found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for a in range(0, len(w), 4_000):
-                sims = w[a : a + 4_000] @ queries
-                hit = np.flatnonzero(sims.ravel() > COSINE)
-                found.append((hit // sims.shape[1] + a, hit % sims.shape[1], sims.ravel()[hit]))
+                r, i, c = latent.near(w[a : a + 4_000])
+                found.append((r + a, i, c))
             row, col, sim = (np.concatenate(x) for x in zip(*found))
             if not len(row):
                 continue
@@ -243,11 +305,19 @@ def _checked(latent: Latent, doc_id: list, docs: list[np.ndarray], of: np.ndarra
 
 def corpus_sketch(documents: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     """Sketch, passage frequencies and number of passages over all documents."""
-    parts = documents.where("text is not null").select("text").mapInArrow(_sketch_batches, "slice int, part binary, passages bigint")
-    rows = parts.groupBy("slice").applyInPandas(_add_parts, "slice int, part binary, passages bigint").toPandas().sort_values("slice")
+    texts = documents.where("text is not null").select("text")
+    schema = "slice int, part binary, passages bigint"
+    parts = texts.mapInArrow(_sketch_batches, schema).withColumn("task", F.spark_partition_id())
+    tasks = texts.rdd.getNumPartitions()
+    while True:  # a tree: no task adds more than FAN_IN parts
+        tasks = -(-tasks // FAN_IN)
+        parts = parts.withColumn("task", (F.col("task") / FAN_IN).cast("int")).groupBy("slice", "task").applyInPandas(_add_parts, f"{schema}, task int")
+        if tasks <= 1:
+            break
+    rows = parts.toPandas().sort_values("slice")
     if rows.empty:
         return np.zeros((TERMS, CORPUS_RANK), np.float32), np.zeros(TERMS), 0
-    total = np.concatenate([np.frombuffer(p, np.float64).reshape(-1, CORPUS_RANK + 1) for p in rows["part"]])
+    total = np.concatenate([np.frombuffer(p, np.float32).reshape(-1, CORPUS_RANK + 1) for p in rows["part"]])
     return total[:, :CORPUS_RANK].astype(np.float32), total[:, CORPUS_RANK], int(rows["passages"].iloc[0])
 
 

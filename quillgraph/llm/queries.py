@@ -91,6 +91,12 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.groupBy("item_id", "kind").agg(F.count("*").alias("n_documents"))
 
 
+def p8_paraphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold an item in other words: near in the latent space, its words in common order, and its answer if it has one."""
+    leaks = leakage.verdicts(leakage.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")))
+    return leaks.where("kind = 'paraphrase'").select("doc_id", "item_id", "cosine", "lcs")
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_scores(spark, sf_dir).where(F.col("score") >= abuse.THRESHOLD).select("doc_id")
 
@@ -120,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_fill": p7_fill,
     "p8_found": p8_found,
     "p8_items": p8_items,
+    "p8_paraphrases": p8_paraphrases,
     "p9_found": p9_found,
     "p9_scores": p9_scores,
     "p9_rates": p9_rates,

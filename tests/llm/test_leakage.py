@@ -1,5 +1,9 @@
 import random
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+
 from quillgraph.llm import leakage as L
 from quillgraph.llm.words import words
 
@@ -61,3 +65,57 @@ def test_lcs():
             for j in range(len(b)):
                 t[i + 1][j + 1] = t[i][j] + 1 if a[i] == b[j] else max(t[i][j + 1], t[i + 1][j])
         assert L.lcs_length(a, b) == t[-1][-1]
+
+
+def test_singular_vectors_are_those_of_the_matrix():
+    rng = np.random.default_rng(3)
+    low = rng.standard_normal((200, 6)) @ (np.diag([9, 7, 5, 3, 2, 1]) @ rng.standard_normal((6, 50)))
+    scale = rng.random(50) + 0.5
+    start = rng.standard_normal((50, 12))
+    u, s = L.singular_vectors(low.T @ (low @ start), start, scale)
+    _, true, v = np.linalg.svd(low * scale, full_matrices=False)
+    assert len(s) == 6 and np.allclose(s, true[:6], rtol=1e-3)
+    assert np.allclose(np.abs(u.T @ v[:6].T), np.eye(6), atol=1e-3)
+    assert L.singular_vectors(np.zeros((50, 12)), start, scale)[0].shape == (50, 0)
+
+
+def test_index_of_ten_thousand_items_finds_what_brute_force_finds():
+    rng = random.Random(5)
+    vocabulary = [f"word{i}" for i in range(3000)]
+    items = pd.DataFrame({"item_id": range(10_000), "text": [" ".join(rng.choices(vocabulary, k=30)) for _ in range(10_000)]})
+    docs = [" ".join(rng.choices(vocabulary, k=60) + items.text[rng.randrange(10_000)].split()[: rng.choice([30, 20])] + rng.choices(vocabulary, k=40)) for _ in range(120)]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(docs)})
+    parts = next(L._sketch_batches(iter([batch]))).to_pydict()
+    total = np.concatenate([np.frombuffer(p, np.float32).reshape(-1, L.CORPUS_RANK + 1) for p in parts["part"]])
+    latent = L.Latent(items, (total[:, : L.CORPUS_RANK], total[:, L.CORPUS_RANK], parts["passages"][0]))
+    assert latent.centres is not None
+    hasher = L.Hasher()
+    flat, starts, owner, place = L._blocks([hasher.ids(t) for t in docs])
+    w, _, _ = latent.project(L._terms(flat), starts, owner, place)
+    row, item, _ = latent.near(w)
+    sims = w @ latent.windows.T
+    true = {(int(r), int(i)) for r, i in zip(*np.nonzero(sims > 0.8))}
+    got = set(zip(row.tolist(), item.tolist()))
+    assert true and len(true & got) >= 0.95 * len(true)
+
+
+def test_paraphrases(spark):
+    docs, items = make(6)
+    rng = random.Random(7)
+    told = []
+    for i, kind, text in items[:8]:
+        w = text.split()
+        for at in range(3, len(w), 4):  # every fourth word is another one: no run of four is left
+            w[at] = f"word{rng.randrange(800)}"
+        told.append((1000 + i, " ".join(w), "c", "c"))
+    found = L.verdicts(L.find_leaks(spark.createDataFrame(docs + told, DOCS), spark.createDataFrame(items, ITEMS))).where("doc_id >= 1000").collect()
+    assert {(r.doc_id - 1000, r.item_id) for r in found if r.kind == "paraphrase"} >= {(i, i) for i in range(6)} and all(r.doc_id - 1000 == r.item_id for r in found)
+
+
+def test_partial_sums_are_added_in_a_tree(spark, monkeypatch):
+    docs, _ = make(8)
+    df = spark.createDataFrame(docs, DOCS)
+    one = L.corpus_sketch(df.coalesce(1))
+    monkeypatch.setattr(L, "FAN_IN", 2)
+    tree = L.corpus_sketch(df.repartition(7))
+    assert one[2] == tree[2] and np.allclose(one[0], tree[0], rtol=1e-3, atol=1e-2) and np.allclose(one[1], tree[1])

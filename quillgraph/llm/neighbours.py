@@ -12,12 +12,15 @@ An inverted file of coarse centroids with product-quantised residuals:
    shortlist, which is reranked exactly on the full vectors;
 5. the shortlists of all groups are merged to the k best a query.
 
+Every query travels with its full vector; what keeps the shuffles small is that keys travel as 64-bit hashes, under a
+seed for which no two keys share one, and are put back on the result.
+
 Skew: an over-full cell is divided into chunks by a hash of the key, its queries go to each chunk.
 Identical vectors would make a cell quadratic: where more than k + 1 rows share one vector, the
 k + 1 smallest keys stand for all in the index (no other member can rank before them), and the
 remaining members get their result, the k smallest keys of their own vector, by a join.
 
-Defined results: similarity ties are broken by the smaller key; repeated rows of a key count
+Defined results: similarity ties are broken by the smaller hash of the key; repeated rows of a key count
 once; a key without usable vector is absent; fewer than k other vectors give fewer neighbours;
 an empty table gives an empty result; extra columns are ignored.
 """
@@ -37,8 +40,8 @@ from quillgraph.session import is_small
 
 K = 5
 DIM = 64
-SAMPLE_ROWS = 65_536
-MAX_CELLS = 4_096
+SAMPLE_ROWS = 131_072
+MAX_CELLS = 16_384
 PROBES = 6
 #: A cell is probed only if its centroid is at most this much less similar than the nearest one.
 MARGIN = 0.1
@@ -63,17 +66,24 @@ def latest_vectors(table: DataFrame, key: str = "vector_key", vector: str = "vec
 
 
 def latest_rows(table: DataFrame) -> DataFrame:
-    """As ``latest_vectors`` for columns key, vector, created, shuffling only keys with several rows.
+    """(key, kid, vector): as ``latest_vectors`` for columns key, vector, created, with a hash that tells all keys apart.
 
-    Which keys those are comes from a shuffle of key hashes alone.
+    Only keys with several rows are shuffled; which those are comes from a shuffle of key hashes alone. Two keys under
+    one hash show up there as well, and another seed is taken.
     """
-    hashed = table.where("key is not null").withColumn("kh", F.xxhash64("key"))
-    repeated = hashed.groupBy("kh").agg(F.count("*").alias("n")).where("n > 1").select("kh", F.lit(True).alias("_again"))
-    if not is_small(repeated, REPEATED_KEYS):
-        return latest_vectors(table, "key", "vector", "created")
-    marked = hashed.join(F.broadcast(repeated), "kh", "left")
-    once = marked.where("_again is null").select("key", "vector")
-    return once.unionByName(latest_vectors(marked.where("_again"), "key", "vector", "created"))
+    seed = 0
+    while True:
+        hashed = table.where("key is not null").withColumn("kid", F.xxhash64(F.lit(seed), "key"))
+        repeated = hashed.groupBy("kid").agg(F.count("*").alias("n")).where("n > 1").select("kid", F.lit(True).alias("_again"))
+        few = is_small(repeated, REPEATED_KEYS)
+        marked = hashed.join(F.broadcast(repeated) if few else repeated, "kid", "left")
+        shared = marked.where("_again").groupBy("kid").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi")
+        if not shared.limit(1).count():
+            break
+        seed += 1
+    once = marked.where("_again is null").select("key", "kid", "vector")
+    newest = latest_vectors(marked.where("_again"), "key", "vector", "created")
+    return once.unionByName(newest.withColumn("kid", F.xxhash64(F.lit(seed), "key")))
 
 
 def usable(vectors: list | pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -177,12 +187,12 @@ class Index:
         return out
 
 
-PLACED = "grp long, member boolean, key string, vec binary, cell int, chunk int, probes binary"
+PLACED = "grp long, member boolean, kid long, vec binary, cell int, chunk int, probes binary"
 
 
 def _place(index: Index, dim: int, probes: int):
     """Members and queries of each group."""
-    types = pa.schema([("grp", pa.int64()), ("member", pa.bool_()), ("key", pa.string()), ("vec", pa.binary()), ("cell", pa.int32()), ("chunk", pa.int32()), ("probes", pa.binary())])
+    types = pa.schema([("grp", pa.int64()), ("member", pa.bool_()), ("kid", pa.int64()), ("vec", pa.binary()), ("cell", pa.int32()), ("chunk", pa.int32()), ("probes", pa.binary())])
     most = int(index.chunks.max())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,8 +200,8 @@ def _place(index: Index, dim: int, probes: int):
             x, at = _arrow_units(batch.column("vector"), dim)
             if not len(at):
                 continue
-            keys = batch.column("key").take(pa.array(at)).to_pylist()
-            hashes = batch.column("h").take(pa.array(at)).to_numpy()
+            kids = batch.column("kid").take(pa.array(at)).to_numpy()
+            hashes = kids & 0x7FFFFFFFFFFFFFFF
             indexed = batch.column("indexed").take(pa.array(at)).to_numpy(zero_copy_only=False)
             p = min(probes, len(index.coarse))
             sims = x @ index.coarse.T
@@ -202,9 +212,8 @@ def _place(index: Index, dim: int, probes: int):
             near, near_sims = np.take_along_axis(near, order, axis=1), np.take_along_axis(near_sims, order, axis=1)
             nearer = np.cumsum(index.expected[near], axis=1) - index.expected[near]
             close = (near_sims >= near_sims[:, :1] - MARGIN) | (nearer < LEAST_MEMBERS)
-            halves = x.astype(np.float16)
             rows: list[tuple] = []
-            for i, key in enumerate(keys):
+            for i, kid in enumerate(kids.tolist()):
                 cells = set(near[i][close[i]].tolist())
                 cells.add(int(own[i]))
                 home = int(own[i])
@@ -216,27 +225,21 @@ def _place(index: Index, dim: int, probes: int):
                 at_home = int(index.group[home]) * most + (chunk if index.chunks[home] > 1 else 0)
                 for grp, mine in by.items():
                     here = grp == at_home and bool(indexed[i])
-                    # queries away from home travel in half precision
-                    vec = (x if grp == at_home else halves)[i].tobytes()
-                    rows.append((grp, here, key, vec, home if here else -1, chunk, np.array(sorted(mine), np.int32).tobytes()))
+                    rows.append((grp, here, kid, x[i].tobytes(), home if here else -1, chunk, np.array(sorted(mine), np.int32).tobytes()))
             columns = list(zip(*rows)) or [[]] * len(types)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, types)], schema=types)
 
     return run
 
 
-FOUND = "key string, near array<string>, sims array<float>"
+FOUND = "kid long, near array<long>, sims array<float>"
 
 
 def _search(index: Index, k: int, shortlist: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("key", kind="stable")  # ties then go to the smaller key
-        dim = index.coarse.shape[1]
-        half = np.array([len(v) == 2 * dim for v in pdf["vec"]])
-        q = np.empty((len(pdf), dim), np.float32)
-        for which, kind in ((half, np.float16), (~half, np.float32)):
-            q[which] = np.frombuffer(b"".join(pdf["vec"].to_numpy()[which]), kind).reshape(-1, dim)
-        keys = pdf["key"].to_numpy()
+        pdf = pdf.sort_values("kid", kind="stable")  # ties then go to the smaller hash
+        q = np.frombuffer(b"".join(pdf["vec"]), np.float32).reshape(len(pdf), index.coarse.shape[1])
+        kids = pdf["kid"].to_numpy()
         members = np.flatnonzero(pdf["member"].to_numpy())
         cell_of = pdf["cell"].to_numpy()[members]
         lens = np.array([len(p) // 4 for p in pdf["probes"]])
@@ -262,9 +265,9 @@ def _search(index: Index, k: int, shortlist: int):
         some = best_i[:, 0] >= 0
         return pd.DataFrame(
             {
-                "key": keys[some],
-                "near": [list(keys[i[i >= 0]]) for i in best_i[some]],
-                "sims": [s[i >= 0].tolist() for s, i in zip(best_s[some], best_i[some])],
+                "kid": kids[some],
+                "near": [kids[i[i >= 0]] for i in best_i[some]],
+                "sims": [s[i >= 0] for s, i in zip(best_s[some], best_i[some])],
             }
         )
 
@@ -303,9 +306,8 @@ def _crowded(table: DataFrame, k: int, dim: int) -> DataFrame:
     return table.where("vector is not null").where(_is_usable(dim)).groupBy(F.xxhash64("vector").alias("vh")).agg(F.count("*").alias("n")).where(F.col("n") > k + 1)
 
 
-def nearest_neighbours(table: DataFrame, key: str = "vector_key", vector: str = "vector", created: str = "created_at", k: int = K, dim: int = DIM, probes: int = PROBES, shortlist: int = SHORTLIST) -> DataFrame:
-    """(key, neighbour, similarity, rank): the k most similar other keys of every usable key."""
-    spark = table.sparkSession
+def _search_all(table: DataFrame, key: str, vector: str, created: str, k: int, dim: int, probes: int, shortlist: int) -> tuple[DataFrame, DataFrame]:
+    """(kid, nid, similarity, rank) of every usable vector, and (kid, key) of all."""
     narrow = table.select(F.col(key).alias("key"), F.col(vector).alias("vector"), F.col(created).alias("created"))
     latest = latest_rows(narrow)
     total = narrow.count()
@@ -313,20 +315,18 @@ def nearest_neighbours(table: DataFrame, key: str = "vector_key", vector: str =
     crowded = _crowded(narrow, k, dim)
     direct = None
     if crowded.limit(1).count():
-        hashed = latest.withColumn("vh", F.xxhash64("vector")).join(crowded.select("vh", F.lit(True).alias("_crowded")), "vh", "left")
-        ranked = hashed.withColumn("r", F.row_number().over(Window.partitionBy("vh", F.when(F.col("_crowded").isNull(), F.col("key"))).orderBy("key")))
-        split = ranked.withColumn("indexed", F.col("_crowded").isNull() | (F.col("r") <= k + 1))
-        first = split.where("indexed and _crowded").groupBy("vh").agg(F.array_sort(F.collect_list("key")).alias("first"))
-        direct = (
-            split.where("not indexed")
-            .where(_is_usable(dim))
-            .join(first, "vh")
-            .select("key", F.slice("first", 1, k).alias("near"), F.transform(F.slice("first", 1, k), lambda _: F.lit(1.0).cast("float")).alias("sims"))
-        )
-        source = split.where("indexed").select("key", "vector", "indexed")
+        alike = latest.where(_is_usable(dim)).withColumn("vh", F.xxhash64("vector"))
+        among = alike.select("vh", "key", "kid").join(crowded.select("vh"), "vh", "left_semi")
+        # the rank limit is applied in every map task first, so a crowded class sends k + 1 rows a task
+        top = among.withColumn("r", F.row_number().over(Window.partitionBy("vh").orderBy("key"))).where(F.col("r") <= k + 1)
+        first = top.groupBy("vh").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "kid"))), lambda x: x["kid"]).alias("first"))  # k + 1 rows a class
+        split = alike.join(first, "vh", "left").withColumn("indexed", F.col("first").isNull() | F.array_contains("first", F.col("kid")))
+        direct = split.where("not indexed").select("kid", F.posexplode(F.slice("first", 1, k)).alias("pos", "nid"))
+        direct = direct.select("kid", "nid", F.lit(1.0).alias("similarity"), (F.col("pos") + 1).alias("rank"))
+        source = split.where("indexed").select("kid", "vector", "indexed")
     else:
-        source = latest.withColumn("indexed", F.lit(True))
-    placed = source.withColumn("h", F.xxhash64("key").bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))).mapInArrow(_place(index, dim, probes), PLACED)
+        source = latest.select("kid", "vector", F.lit(True).alias("indexed"))
+    placed = source.mapInArrow(_place(index, dim, probes), PLACED)
     found = placed.groupBy("grp").applyInPandas(_search(index, k, shortlist), FOUND)
     best = F.slice(
         F.array_sort(
@@ -336,12 +336,27 @@ def nearest_neighbours(table: DataFrame, key: str = "vector_key", vector: str =
         1,
         k,
     )
-    merged = found.groupBy("key").agg(best.alias("best")).select("key", F.posexplode("best").alias("pos", "b"))
-    out = merged.select("key", F.col("b.near").alias("neighbour"), F.col("b.sims").cast("double").alias("similarity"), (F.col("pos") + 1).alias("rank"))
-    if direct is not None:
-        spread = direct.select("key", F.posexplode(F.arrays_zip("near", "sims")).alias("pos", "b"))
-        out = out.unionByName(spread.select("key", F.col("b.near").alias("neighbour"), F.col("b.sims").cast("double").alias("similarity"), (F.col("pos") + 1).alias("rank")))
-    return out
+    merged = found.groupBy("kid").agg(best.alias("best")).select("kid", F.posexplode("best").alias("pos", "b"))
+    out = merged.select("kid", F.col("b.near").alias("nid"), F.col("b.sims").cast("double").alias("similarity"), (F.col("pos") + 1).alias("rank"))
+    return out if direct is None else out.unionByName(direct), latest.select("kid", "key")
+
+
+def _named(rows: DataFrame, keys: DataFrame, hashed: str, name: str) -> DataFrame:
+    return rows.join(keys.select(F.col("kid").alias(hashed), F.col("key").alias(name)), hashed).drop(hashed)
+
+
+def nearest_neighbours(table: DataFrame, key: str = "vector_key", vector: str = "vector", created: str = "created_at", k: int = K, dim: int = DIM, probes: int = PROBES, shortlist: int = SHORTLIST) -> DataFrame:
+    """(key, neighbour, similarity, rank): the k most similar other keys of every usable key."""
+    found, keys = _search_all(table, key, vector, created, k, dim, probes, shortlist)
+    return _named(_named(found, keys, "kid", "key"), keys, "nid", "neighbour").select("key", "neighbour", "similarity", "rank")
+
+
+def neighbour_pairs(table: DataFrame, key: str = "vector_key", vector: str = "vector", created: str = "created_at", k: int = K, dim: int = DIM, probes: int = PROBES, shortlist: int = SHORTLIST) -> DataFrame:
+    """(vector_key_a, vector_key_b): unordered pairs in which at least one key is among the other's nearest."""
+    found, keys = _search_all(table, key, vector, created, k, dim, probes, shortlist)
+    pairs = found.select(F.least("kid", "nid").alias("x"), F.greatest("kid", "nid").alias("y")).distinct()
+    named = _named(_named(pairs, keys, "x", "kx"), keys, "y", "ky")
+    return named.select(F.least("kx", "ky").alias("vector_key_a"), F.greatest("kx", "ky").alias("vector_key_b"))
 
 
 def _sample(narrow: DataFrame, total: int, dim: int) -> np.ndarray:
@@ -354,8 +369,3 @@ def _sample(narrow: DataFrame, total: int, dim: int) -> np.ndarray:
     if not len(x):
         x = np.eye(1, dim, dtype=np.float32)
     return x
-
-
-def neighbour_pairs(neighbours: DataFrame) -> DataFrame:
-    """Unordered pairs in which at least one key is among the other's nearest."""
-    return neighbours.select(F.least("key", "neighbour").alias("vector_key_a"), F.greatest("key", "neighbour").alias("vector_key_b")).distinct()

@@ -68,7 +68,12 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours.neighbour_pairs(neighbours.nearest_neighbours(read_table(spark, sf_dir, "embedding_vectors")))
+    return neighbours.neighbour_pairs(read_table(spark, sf_dir, "embedding_vectors"))
+
+
+def p6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of every usable vector with their similarity and rank."""
+    return neighbours.nearest_neighbours(read_table(spark, sf_dir, "embedding_vectors"))
 
 
 def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_classes": p5_classes,
     "p5_groups": p5_groups,
     "p6_found": p6_found,
+    "p6_neighbours": p6_neighbours,
     "p7_packed": p7_packed,
     "p7_fill": p7_fill,
     "p8_found": p8_found,

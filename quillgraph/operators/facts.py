@@ -10,12 +10,6 @@ from quillgraph.functions.text import display_name, norm, role_inverse, stable_i
 KINDS = ("ENTITY_LINK", "ENTITY_TO_DETAIL", "DETAIL_TO_ENTITY", "TEXT_FACT", "SAME_ENTITY")
 
 
-def latest_facts(facts: DataFrame) -> DataFrame:
-    """One row per fact: of repeated deliveries the one ingested first, ties by all other columns."""
-    order = [F.col("ingested_at").asc_nulls_last(), F.col("extracted_at").asc_nulls_last(), F.to_json(F.struct("doc_id", "subject_local", "object_local", "raw_relation", "literal_raw"))]
-    return facts.withColumn("_r", F.row_number().over(Window.partitionBy("fact_id").orderBy(*order))).where("_r = 1").drop("_r")
-
-
 def distinct_facts(facts: DataFrame) -> DataFrame:
     """The columns of a fact that the graph uses, each fact once (deliveries differ in times only)."""
     return facts.select("fact_id", "doc_id", "subject_local", "object_local", "relation", "raw_relation", "literal_raw", "literal_type", "fact_kind", "source_type", "source_direction", "inverse_relation").distinct()
@@ -69,7 +63,7 @@ def occurrences(local_entities: DataFrame) -> DataFrame:
 
 
 def context_facts(facts: DataFrame, local_entities: DataFrame) -> DataFrame:
-    """(local_id, n_contexts, contexts): ordered distinct `subject | relation | object` lines of a record."""
+    """(local_id, n_contexts, first_context, last_context): how many distinct `subject | relation | object` lines a record has, and the first and last of them; ``context_lines`` has them all."""
     name = local_entities.where("local_id is not null").groupBy("local_id").agg(F.min("name").alias("name"))
     f = distinct_facts(facts)
     s = f.join(name.select(F.col("local_id").alias("subject_local"), F.col("name").alias("sn")), "subject_local")
@@ -80,6 +74,21 @@ def context_facts(facts: DataFrame, local_entities: DataFrame) -> DataFrame:
     return distinct.groupBy("local_id").agg(F.count("*").alias("n_contexts"), F.min("line").alias("first_context"), F.max("line").alias("last_context"))
 
 
+def context_lines(facts: DataFrame, local_entities: DataFrame) -> DataFrame:
+    """(local_id, place, line): the distinct lines of each record in order, `subject | relation | object` and, in brackets, the qualifiers by key.
+
+    One row a line, so a hot record is many rows and no long list.
+    """
+    name = local_entities.where("local_id is not null").groupBy("local_id").agg(F.min("name").alias("name"))
+    told = F.array_join(F.transform(F.array_sort(F.map_entries("qualifiers")), lambda x: F.concat(x["key"], F.lit("="), F.coalesce(x["value"], F.lit("")))), "; ")
+    f = facts.select("subject_local", "object_local", "raw_relation", "literal_raw", F.when(told != "", F.concat(F.lit(" ["), told, F.lit("]"))).otherwise("").alias("told")).distinct()
+    s = f.join(name.select(F.col("local_id").alias("subject_local"), F.col("name").alias("sn")), "subject_local")
+    o = s.join(name.select(F.col("local_id").alias("object_local"), F.col("name").alias("on")), "object_local", "left")
+    line = F.concat(F.concat_ws(" | ", "sn", "raw_relation", F.coalesce("on", "literal_raw")), F.coalesce("told", F.lit("")))
+    distinct = o.select(F.explode(F.array_compact(F.array("subject_local", "object_local"))).alias("local_id"), line.alias("line")).distinct()
+    return distinct.withColumn("place", F.row_number().over(Window.partitionBy("local_id").orderBy("line"))).select("local_id", "place", "line")
+
+
 def directed_views(facts: DataFrame) -> DataFrame:
     """Forward or terminal view of every fact, and the reverse view where an inverse label is known."""
     f = distinct_facts(facts)

@@ -74,26 +74,42 @@ def seed_vector(seeds: DataFrame, fact_weight: float = 0.8) -> DataFrame:
     return mixed.withColumn("p", F.col("p") / F.sum("p").over(q)).where("p > 0")
 
 
-def personalised_pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.65, iterations: int = 10, tolerance: float | None = None, every: int = 3) -> DataFrame:
+def personalised_pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.65, iterations: int = 10, tolerance: float | None = None) -> DataFrame:
     """(query, node, score): restarted walks of all queries at once.
 
-    One iteration is a join on the source and an aggregation on (query, target); mass of vertices
-    without edges returns to the query's seeds. With ``tolerance`` the loop also ends once no query
-    moved more than that in total; a query that did converge takes no further part.
+    One iteration is a join on the source and an aggregation on (query, target), and is written, so
+    each step is planned once. The mass of vertices without edges returns to the query's seeds. With ``tolerance`` a
+    query whose scores moved no more than that in total keeps them and takes no further part.
     """
-    moves = materialize(transitions(edges), "moves")
+    moves = materialize(transitions(edges).select("src", "dst", "p"), "moves")
+    sources = materialize(moves.select(F.col("src").alias("node")).distinct(), "sources")
     seeds = materialize(seeds.select("query", "node", "p"), "seeds")
     x = seeds.select("query", "node", F.col("p").alias("score"))
-    for i in range(iterations):
-        flow = x.join(moves, x["node"] == moves["src"]).groupBy("query", F.col("dst").alias("node")).agg(F.sum(F.col("score") * F.col("p")).alias("inflow"))
-        kept = flow.groupBy("query").agg(F.sum("inflow").alias("_kept"))
-        back = seeds.join(kept, "query", "left").select("query", "node", (F.col("p") * (1 - alpha + alpha * (1 - F.coalesce("_kept", F.lit(0.0))))).alias("inflow"))
-        nxt = flow.select("query", "node", (F.col("inflow") * alpha).alias("inflow")).unionByName(back).groupBy("query", "node").agg(F.sum("inflow").alias("score"))
-        if tolerance is not None or (i + 1) % every == 0:
-            nxt = materialize(nxt, "rank")
+    done: list[DataFrame] = []
+    for _ in range(iterations):
+        flow = x.join(moves, x["node"] == moves["src"]).groupBy("query", F.col("dst").alias("node")).agg((F.sum(F.col("score") * F.col("p")) * alpha).alias("score"))
+        lost = x.join(sources, "node", "left_anti").groupBy("query").agg(F.sum("score").alias("_lost"))
+        open_ = seeds.join(x.select("query").distinct(), "query", "left_semi") if done else seeds
+        back = open_.join(lost, "query", "left").select("query", "node", (F.col("p") * (1 - alpha + alpha * F.coalesce("_lost", F.lit(0.0)))).alias("score"))
+        nxt = materialize(flow.unionByName(back).groupBy("query", "node").agg(F.sum("score").alias("score")), "rank")
         if tolerance is not None:
-            moved = nxt.select("query", "node", F.col("score").alias("n")).join(x.select("query", "node", F.col("score").alias("o")), ["query", "node"], "full").groupBy("query").agg(F.sum(F.abs(F.coalesce("n", F.lit(0.0)) - F.coalesce("o", F.lit(0.0)))).alias("d"))
-            if not moved.where(F.col("d") > tolerance).limit(1).count():
-                return nxt
+            change = nxt.select("query", F.col("score"), "node").unionByName(x.select("query", (-F.col("score")).alias("score"), "node")).groupBy("query", "node").agg(F.abs(F.sum("score")).alias("d"))
+            moving = materialize(change.groupBy("query").agg(F.sum("d").alias("d")).where(F.col("d") > tolerance).select("query"), "moving")
+            done.append(nxt.join(moving, "query", "left_anti"))
+            nxt = nxt.join(moving, "query", "left_semi")
+            if not moving.limit(1).count():
+                break
         x = nxt
-    return x
+    else:
+        done.append(x)
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def rank_passages(scores: DataFrame, facts: DataFrame, k: int) -> DataFrame:
+    """(query, passage, score, best_fact, rank): passages by their best fact; ``scores(query, node, score)``, ``facts(node, fact_id, passage)``."""
+    best = scores.join(facts, "node").groupBy("query", "passage").agg(F.max(F.struct("score", F.col("fact_id"))).alias("_m"), F.min_by("fact_id", F.struct(-F.col("score"), F.col("fact_id"))).alias("best_fact"))
+    w = Window.partitionBy("query").orderBy(F.col("_m.score").desc(), F.col("passage"))
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "passage", F.col("_m.score").alias("score"), "best_fact", "rank")

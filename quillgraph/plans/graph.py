@@ -50,6 +50,10 @@ def context_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.context_facts(*_t(spark, sf_dir, "facts", "local_entities"))
 
 
+def context_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.context_lines(*_t(spark, sf_dir, "facts", "local_entities")).select("local_id", "place", F.sha2("line", 256).alias("line_hash"))
+
+
 def directed_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.directed_views(read_table(spark, sf_dir, "facts"))
 
@@ -208,7 +212,7 @@ def pagerank_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        fact_validation, fact_routes, fact_report, entity_groups, mention_counts, context_facts, directed_views, view_labels, inverse_examples,
+        fact_validation, fact_routes, fact_report, entity_groups, mention_counts, context_facts, context_lines, directed_views, view_labels, inverse_examples,
         missing_locals, pending_documents, fact_entity_edges, degree_report, graph_components, similar_pairs, transition_shares, dangling_orders,
         edge_probabilities, blended_probabilities, two_step_paths, archive_compaction, canonical_probabilities, canonical_paths, canonical_archives, fair_batch, sampled_walks, exact_names, name_merge,
         explicit_entities, pagerank_suppliers,
@@ -232,6 +236,13 @@ _CANONICAL = f"""{_NODES}, {_STEPS.replace("from_local AS from_node, to_local AS
 _FAULT = lambda cond, code: f"CASE WHEN coalesce({cond}, true) THEN '{code}' END"
 
 ORACLE_SQL = {
+    "context_lines": """
+        WITH n AS (SELECT local_id, min(name) AS name FROM local_entities WHERE local_id IS NOT NULL GROUP BY 1),
+        f AS (SELECT DISTINCT subject_local, object_local, raw_relation, literal_raw, array_to_string(list_transform(list_sort(map_entries(qualifiers)), lambda x: x.key || '=' || coalesce(x.value, '')), '; ') AS told FROM facts),
+        l AS (SELECT subject_local, object_local, concat_ws(' | ', s.name, raw_relation, coalesce(o.name, literal_raw)) || CASE WHEN coalesce(told, '') <> '' THEN ' [' || told || ']' ELSE '' END AS line
+              FROM f JOIN n s ON s.local_id = subject_local LEFT JOIN n o ON o.local_id = object_local),
+        d AS (SELECT DISTINCT unnest([subject_local, object_local]) AS local_id, line FROM l)
+        SELECT local_id, row_number() OVER (PARTITION BY local_id ORDER BY line) AS place, sha256(line) AS line_hash FROM d WHERE local_id IS NOT NULL""",
     "fact_validation": f"""WITH {_FACTS} SELECT source_type, concat_ws(',',
             {_FAULT("source_type NOT IN ('ENTITY_LINK', 'ENTITY_TO_DETAIL', 'DETAIL_TO_ENTITY', 'TEXT_FACT', 'SAME_ENTITY')", 'kind')},
             {_FAULT("subject_local IS NULL OR trim(subject_local) = ''", 'subject')},

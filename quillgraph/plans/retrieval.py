@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions.text import norm
 from quillgraph.operators import answers as A
+from quillgraph.operators import facts as O
 from quillgraph.operators import graph as G
 from quillgraph.operators import identity as I
 from quillgraph.operators import retrieval as R
@@ -15,10 +16,12 @@ from quillgraph.operators import walks as W
 from quillgraph.operators.references import spelled_id
 from quillgraph.plans.graph import PRIORITY, canonical_steps
 from quillgraph.plans.text import SQL_SPACE, sql_answer
-from quillgraph.session import read_table
+from quillgraph.session import materialize, read_table
 
 CANDIDATES, TOP = 100, 5
 KS = (2, 5, 10, 20)
+#: Walk steps of fact_ppr; the SQL beside it takes as many.
+PPR_STEPS = 6
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -74,6 +77,27 @@ def ppr_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= TOP)
 
 
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions of the stated set: those whose number is divisible by 100."""
+    return read_table(spark, sf_dir, "queries").where(F.regexp_extract("query_id", "([0-9]+)$", 1).try_cast("bigint") % 100 == 0)
+
+
+def fact_ppr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles by restarted walks over the graph of facts and records, from the records a question mentions, each with its best fact.
+
+    Records of one normalised name and type are one node, so the walk passes from article to article.
+    """
+    le = read_table(spark, sf_dir, "local_entities")
+    node = le.where("local_id is not null and name is not null").groupBy("local_id").agg(F.min(F.struct(F.coalesce("type", F.lit("")).alias("type"), norm(F.col("name")).alias("name"))).alias("x")).select("local_id", F.concat(F.lit("e:"), "x.type", F.lit(":"), "x.name").alias("node"))
+    facts = materialize(O.distinct_facts(read_table(spark, sf_dir, "facts")).select("fact_id", "doc_id", "subject_local", "object_local"), "facts")
+    ends = G.fact_entity_edges(facts).join(node, F.col("entity") == F.col("local_id")).select(F.concat(F.lit("f:"), "fact_id").alias("f"), "node")
+    seeds = W.question_mentions(_asked(spark, sf_dir), le).join(node, "local_id").select(F.col("query_id").alias("query"), "node").distinct()
+    seeds = G.seed_vector(seeds.select("query", F.lit("entity").alias("kind"), "node", F.lit(1.0).alias("score")))
+    scores = G.personalised_pagerank(G.symmetric(ends, "f", "node"), seeds, alpha=0.65, iterations=PPR_STEPS, tolerance=1e-8)
+    ranked = G.rank_passages(scores.withColumn("score", F.round("score", 9)), facts.select(F.concat(F.lit("f:"), "fact_id").alias("node"), "fact_id", F.col("doc_id").alias("passage")), TOP)
+    return ranked.select("query", "passage", "score", "best_fact", "rank")
+
+
 def question_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.question_mentions(read_table(spark, sf_dir, "queries"), read_table(spark, sf_dir, "local_entities"))
 
@@ -148,7 +172,7 @@ def question_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (dense_topk, entity_topk, dense_passages, relation_priority, ppr_seeds, ppr_passages, question_mentions, linked_documents, recall_hit_mrr, evidence_metrics, frontier_priors, qa_scores, qa_report, question_search)
+    for f in (dense_topk, entity_topk, dense_passages, relation_priority, ppr_seeds, ppr_passages, fact_ppr, question_mentions, linked_documents, recall_hit_mrr, evidence_metrics, frontier_priors, qa_scores, qa_report, question_search)
 }
 
 _PAIRS = """p AS (SELECT q.vec_id AS query, b.vec_id AS id, b.label, list_inner_product(q.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings q, embeddings b WHERE q.vec_id % 100 = 0),
@@ -163,9 +187,13 @@ def _sql_words(c: str) -> str:
     return "list_filter(string_split_regex(lower(nfc_normalize(" + c + r")), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
 
 
+def _sql_norm(c: str) -> str:
+    return f"trim(regexp_replace(lower(nfc_normalize({c})), '{SQL_SPACE}+', ' ', 'g'))"
+
+
 _MENTIONS = f"""q AS (SELECT DISTINCT query_id, {_sql_words('question')} AS w FROM queries WHERE question IS NOT NULL),
     n AS (SELECT DISTINCT local_id, array_to_string({_sql_words('name')}, ' ') AS mention FROM local_entities WHERE local_id IS NOT NULL AND name IS NOT NULL),
-    runs AS (SELECT DISTINCT query_id, array_to_string(w[i:i + l - 1], ' ') AS mention FROM (SELECT query_id, w, l, unnest(range(1, len(w) - l + 2)) AS i FROM (SELECT query_id, w, unnest(range(1, 7)) AS l FROM q) WHERE l <= len(w))),
+    runs AS (SELECT DISTINCT query_id, array_to_string(w[i:i + l - 1], ' ') AS mention FROM (SELECT query_id, w, l, unnest(range(1, len(w) - l + 2)) AS i FROM (SELECT query_id, w, unnest(range(1, len(w) + 1)) AS l FROM q) WHERE l <= len(w))),
     m AS (SELECT query_id, local_id, mention FROM runs JOIN n USING (mention) WHERE mention <> '')"""
 _RANKED = f"""{_MENTIONS}, d AS (SELECT DISTINCT local_id, try_cast(doc_id AS BIGINT) AS doc FROM local_entities WHERE try_cast(doc_id AS BIGINT) IS NOT NULL),
     per AS (SELECT query_id AS query, doc, count(DISTINCT mention) AS score, max(length(mention)) AS longest FROM m JOIN d USING (local_id) GROUP BY ALL),
@@ -200,6 +228,26 @@ ORACLE_SQL = {
             ) GROUP BY i, query, node),
         b AS (SELECT query, label AS passage, max(round(score, 9)) AS score FROM x JOIN embeddings ON node = 'v' || vec_id WHERE i = 10 GROUP BY ALL),
         o AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, passage) AS rank FROM b) SELECT query, passage, score, rank FROM o WHERE rank <= {TOP}""",
+    "fact_ppr": f"""WITH RECURSIVE {_MENTIONS},
+        node AS (SELECT local_id, 'e:' || x.type || ':' || x.name AS node FROM (SELECT local_id, min({{'type': coalesce(type, ''), 'name': {_sql_norm('name')}}}) AS x FROM local_entities WHERE local_id IS NOT NULL AND name IS NOT NULL GROUP BY 1)),
+        fa AS (SELECT DISTINCT fact_id, doc_id, subject_local, object_local FROM facts),
+        e AS (SELECT DISTINCT 'f:' || fact_id AS f, node FROM (SELECT fact_id, unnest([subject_local, object_local]) AS local_id FROM fa) JOIN node USING (local_id)),
+        sy AS (SELECT f AS src, node AS dst FROM e UNION SELECT node, f FROM e),
+        t AS (SELECT src, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS w FROM sy),
+        sn AS (SELECT DISTINCT query_id AS query, node FROM m JOIN node USING (local_id) WHERE try_cast(regexp_extract(query_id, '([0-9]+)$', 1) AS BIGINT) % 100 = 0),
+        seeds AS (SELECT query, node, 1.0::DOUBLE / count(*) OVER (PARTITION BY query) AS p FROM sn),
+        x(i, query, node, score) AS (
+            SELECT 0, query, node, p FROM seeds
+            UNION ALL
+            SELECT i + 1, query, node, sum(score) FROM (
+                SELECT x.i, x.query, t.dst AS node, 0.65::DOUBLE * x.score * t.w AS score FROM x JOIN t ON x.node = t.src WHERE x.i < {PPR_STEPS}
+                UNION ALL
+                SELECT x.i, x.query, x.node, 0.0 FROM x WHERE false
+                UNION ALL
+                SELECT x.i, x.query, d.node, (x.mass * 0.35::DOUBLE + 0.65::DOUBLE * x.lost) * d.p FROM (SELECT i, query, sum(score) AS mass, coalesce(sum(score) FILTER (node NOT IN (SELECT src FROM t)), 0) AS lost FROM x WHERE i < {PPR_STEPS} GROUP BY ALL) x JOIN seeds d ON d.query = x.query
+            ) GROUP BY i, query, node),
+        b AS (SELECT query, doc_id AS passage, max(round(score, 9)) AS score, first(fact_id ORDER BY round(score, 9) DESC, fact_id) AS best_fact FROM x JOIN fa ON node = 'f:' || fact_id WHERE i = {PPR_STEPS} GROUP BY ALL),
+        o AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, passage) AS rank FROM b) SELECT query, passage, score, best_fact, rank FROM o WHERE rank <= {TOP}""",
     "question_mentions": f"WITH {_MENTIONS} SELECT query_id, local_id, mention FROM m",
     "linked_documents": f"WITH {_RANKED} SELECT query, doc, score, rank FROM ranked",
     "recall_hit_mrr": f"""WITH {_RANKED}, h AS (SELECT g.query, g.doc, r.rank, k FROM gold g LEFT JOIN ranked r ON g.query = r.query AND g.doc = r.doc, (SELECT unnest([2, 5, 10, 20]) AS k)),

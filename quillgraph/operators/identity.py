@@ -6,15 +6,14 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import norm, stable_id
 from quillgraph.functions.vectors import inner
 from quillgraph.operators.graph import components, symmetric
+from quillgraph.operators.retrieval import top_k
 
-#: Members of a candidate component up to which the greedy merge runs in one task.
-COMPONENT_ROWS = 20_000
 #: Nearest records of a record that become its candidates.
 CANDIDATE_K = 12
 
@@ -73,6 +72,31 @@ def nearest_name_candidates(records: DataFrame, vectors: DataFrame, threshold: f
     return rows.groupBy("grp", "name_key").applyInPandas(run, "left string, right string, score double").groupBy("left", "right").agg(F.max("score").alias("score"))
 
 
+def nearest_candidates(asked: DataFrame, records: DataFrame, vectors: DataFrame, threshold: float, k: int = CANDIDATE_K) -> DataFrame:
+    """(left, right, score, route): the nearest records of each asked one (local_id), within its type group and across the boundary of unknown types.
+
+    ``asked`` is a stated set; ``records(local_id, type)``, unit ``vectors(local_id, v)``. Routes: ``type`` for the k nearest
+    of the type group, ``boundary`` for the k nearest known records of an unknown one and the reverse. Ranks come first, then
+    the threshold. A pair found by both sides or routes is one row with the smaller route.
+    """
+    typed = records.where("local_id is not null").groupBy("local_id").agg(F.min("type").alias("type")).select("local_id", type_group(F.col("type")).alias("grp"))
+    base = typed.join(vectors.select("local_id", "v"), "local_id").select(F.col("local_id").alias("id"), "v", "grp")
+    queries = base.join(asked.select(F.col("local_id").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("query"), F.col("v").alias("qv"), "grp")
+    same = top_k(queries, base, k + 1, allowed=_same_group).where("query <> id")
+    same = same.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("rank"))).where(F.col("rank") <= k)
+    across = top_k(queries, base, k, allowed=_across_boundary)
+    found = same.select("query", "id", "score", F.lit("type").alias("route")).unionByName(across.select("query", "id", "score", F.lit("boundary").alias("route"))).where(F.col("score") >= threshold)
+    return found.groupBy(F.least("query", "id").alias("left"), F.greatest("query", "id").alias("right")).agg(F.max("score").alias("score"), F.max("route").alias("route"))
+
+
+def _same_group(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a[:, None] == b[None, :]
+
+
+def _across_boundary(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a == "OTHER")[:, None] != (b == "OTHER")[None, :]
+
+
 def review_filter(candidates: DataFrame, records: DataFrame) -> DataFrame:
     """Marks why a candidate needs no review: equal names, incompatible types or one article."""
     side = lambda c: records.groupBy("local_id").agg(F.min("doc_id").alias(f"{c}_doc"), F.min("name").alias(f"{c}_name"), F.min("type").alias(f"{c}_type")).withColumnRenamed("local_id", c)
@@ -80,7 +104,7 @@ def review_filter(candidates: DataFrame, records: DataFrame) -> DataFrame:
     reason = (
         F.when(norm(F.col("left_name")) == norm(F.col("right_name")), "equal_name")
         .when(~compatible(F.col("left_type"), F.col("right_type"), True), "type_conflict")
-        .when(F.col("left_doc") == F.col("right_doc"), "same_document")
+        .when(F.coalesce(F.col("left_doc") == F.col("right_doc"), F.lit(False)), "same_document")
         .otherwise("review")
     )
     return both.withColumn("reason", reason)
@@ -149,9 +173,18 @@ def greedy_merge(scored: DataFrame, threshold: float, conflict: Callable[[str, s
     return rows.groupBy("component").cogroup(own.groupBy("own")).applyInPandas(compare, "local_id string, cluster string")
 
 
-def explicit_mapping(identities: DataFrame) -> DataFrame:
-    """(local_id, entity_id): records joined by explicit links, directly or through others."""
+def explicit_mapping(identities: DataFrame, records: DataFrame | None = None) -> DataFrame:
+    """(local_id, entity_id): records joined by explicit links, directly or through others.
+
+    With ``records`` (local_id, type) a link between records of two different known types joins nothing; a record
+    of unknown type fits any.
+    """
     pairs = identities.where("left_local is not null and right_local is not null")
+    if records is not None:
+        kind = records.where("local_id is not null").groupBy("local_id").agg(F.min("type").alias("type"))
+        side = lambda c: kind.select(F.col("local_id").alias(f"{c}_local"), F.col("type").alias(f"{c}_type"))
+        typed = pairs.select("left_local", "right_local").join(side("left"), "left_local", "left").join(side("right"), "right_local", "left")
+        pairs = typed.where(compatible(F.col("left_type"), F.col("right_type"), True))
     comp = components(symmetric(pairs, "left_local", "right_local"))
     return comp.select(F.col("vertex").alias("local_id"), stable_id("E_", 20, root=F.col("component")).alias("entity_id"))
 

@@ -90,26 +90,39 @@ def walk(allocated: DataFrame, intervals: DataFrame, round_: int, budget: Budget
     """One row per particle: the frontier, the new path and whether it moved.
 
     A step first decides between asked-for and other edges (1 - epsilon to epsilon), then draws
-    evenly within the kind; a used fact is drawn again once, then the particle rests. The number of
-    the drawn edge is in the join key, so a particle at a hub meets one edge.
+    evenly within the kind. Edges of used facts have no weight and the rest is normalised again: the particle's
+    used edges at its node are looked up, what they leave of each kind decides the kind, and the draw skips their
+    numbers. A particle without a usable edge rests. The number of the drawn edge is in the join key, so a particle at a hub
+    meets one edge, and the lookup of used edges is by node and fact.
     """
     kinds = intervals.select("node", "_some", "_other").distinct()
     state = allocated.select("query", "fid", "mention", "epsilon", "base", "rank", F.explode(F.sequence(F.lit(1), F.col("lots") * budget.lot)).alias("p"), "node", "prefix", F.col("prefix").alias("path"), "labels", "docs")
+    id_ = ["query", "fid", "p"]
     for depth in range(budget.steps):
-        for attempt in range(2):
-            u = lambda name: uniform(F.lit(budget.seed), F.lit(round_), F.col("fid"), F.col("p"), F.lit(depth), F.lit(attempt), F.lit(name))  # noqa: E731, B023
-            resting = F.size("path") > F.size("prefix") + depth
-            drawn = state.join(kinds, "node", "left").withColumn("_asked", F.when((F.col("_some") > 0) & (F.col("_other") > 0), u("kind") >= F.col("epsilon")).otherwise(F.col("_some") > 0))
-            drawn = drawn.withColumn("_asked", F.when(resting | (~F.col("_asked") & (F.col("epsilon") <= 0)), None).otherwise(F.col("_asked")))
-            n = F.when(F.col("_asked"), F.col("_some")).otherwise(F.col("_other"))
-            drawn = drawn.withColumn("_draw", F.least(F.floor(u("edge") * n), n - 1))
-            edges = intervals.select(F.col("node").alias("_node"), F.col("priority").alias("_kind"), "_place", "_fact", "_to", "_label", "_doc")
-            # a particle without a draw keeps its row: the null kind meets no edge
-            drawn_at = (F.col("node") == F.col("_node")) & (F.col("_asked") == F.col("_kind")) & (F.col("_draw") == F.col("_place"))
-            hit = drawn.drop("_some", "_other").join(edges, drawn_at, "left")
-            fresh = F.col("_fact").isNotNull() & ~F.array_contains("path", F.coalesce("_fact", F.lit("")))
-            more = lambda c, v: F.when(fresh, F.array_append(c, v)).otherwise(F.col(c)).alias(c)  # noqa: E731, B023
-            state = hit.select("query", "fid", "mention", "epsilon", "base", "rank", "p", F.when(fresh, F.col("_to")).otherwise(F.col("node")).alias("node"), "prefix", more("path", F.col("_fact")), more("labels", F.col("_label")), more("docs", F.col("_doc")))
+        u = lambda name: uniform(F.lit(budget.seed), F.lit(round_), F.col("fid"), F.col("p"), F.lit(depth), F.lit(name))  # noqa: E731, B023
+        known = intervals.select("node", F.col("_fact").alias("_f"), F.col("priority").alias("_kind"), "_place")
+        gone = state.where("node is not null").select(*id_, "node", F.explode(F.array_distinct("path")).alias("_f")).join(known, ["node", "_f"])
+        gone = gone.groupBy(*id_).agg(*[F.array_sort(F.collect_list(F.when(F.col("_kind") == k, F.col("_place")))).alias(c) for k, c in ((True, "_us"), (False, "_uo"))])  # as many as the path has facts
+        none = F.array().cast("array<bigint>")
+        drawn = state.join(kinds, "node", "left").join(gone, id_, "left").withColumn("_us", F.coalesce("_us", none)).withColumn("_uo", F.coalesce("_uo", none))
+        both = (F.col("_some") > 0) & (F.col("_other") > 0)
+        left_s, left_o = F.col("_some") - F.size("_us"), F.col("_other") - F.size("_uo")
+        mass_s = F.when(both, (1 - F.col("epsilon")) * left_s / F.col("_some")).when(F.col("_some") > 0, left_s / F.col("_some")).otherwise(0.0)
+        mass_o = F.when(both, F.col("epsilon") * left_o / F.col("_other")).when((F.col("_other") > 0) & (F.col("epsilon") > 0), left_o / F.col("_other")).otherwise(0.0)
+        resting = F.size("path") > F.size("prefix") + depth
+        drawn = drawn.withColumn("_ms", mass_s).withColumn("_mo", mass_o)
+        drawn = drawn.withColumn("_asked", F.when(resting | (F.col("_ms") + F.col("_mo") <= 0) | F.col("_some").isNull(), None).otherwise((F.col("_mo") <= 0) | (u("kind") * (F.col("_ms") + F.col("_mo")) < F.col("_ms"))))
+        n = F.when(F.col("_asked"), left_s).otherwise(left_o)
+        skip = F.when(F.col("_asked"), F.col("_us")).otherwise(F.col("_uo"))
+        first = F.least(F.floor(u("edge") * n), n - 1).cast("bigint")
+        drawn = drawn.withColumn("_draw", F.aggregate(skip, first, lambda at, used: F.when(used <= at, at + 1).otherwise(at)))
+        edges = intervals.select(F.col("node").alias("_node"), F.col("priority").alias("_kind"), "_place", "_fact", "_to", "_label", "_doc")
+        # a particle without a draw keeps its row: the null kind meets no edge
+        drawn_at = (F.col("node") == F.col("_node")) & (F.col("_asked") == F.col("_kind")) & (F.col("_draw") == F.col("_place"))
+        hit = drawn.drop("_some", "_other").join(edges, drawn_at, "left")
+        fresh = F.col("_fact").isNotNull()
+        more = lambda c, v: F.when(fresh, F.array_append(c, v)).otherwise(F.col(c)).alias(c)  # noqa: E731, B023
+        state = hit.select("query", "fid", "mention", "epsilon", "base", "rank", "p", F.when(fresh, F.col("_to")).otherwise(F.col("node")).alias("node"), "prefix", more("path", F.col("_fact")), more("labels", F.col("_label")), more("docs", F.col("_doc")))
     return state.withColumn("moved", F.size("path") > F.size("prefix"))
 
 

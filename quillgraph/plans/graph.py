@@ -195,6 +195,40 @@ def name_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.greedy_merge(materialize(scored, "candidates"), 0.8, vectors=v)
 
 
+def _unit_vectors(ev: DataFrame) -> DataFrame:
+    from quillgraph.functions.vectors import unit
+
+    usable = ev.where("vector is not null and size(vector) = 64").where(F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x)) & F.exists("vector", lambda x: x != 0))
+    return usable.groupBy(F.col("vector_key").alias("local_id")).agg(F.max_by("vector", F.struct("created_at", "vector")).alias("v")).select("local_id", unit(F.col("v")).alias("v"))
+
+
+def identity_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest candidates of the records of every hundredth article, within a type and across the unknown one, with the reason why a pair needs no review."""
+    le, ev = _t(spark, sf_dir, "local_entities", "embedding_vectors")
+    asked = le.where(F.col("doc_id").try_cast("bigint") % 100 == 0)
+    found = I.nearest_candidates(asked, le, materialize(_unit_vectors(ev), "vectors"), 0.8)
+    return I.review_filter(found, le).select("left", "right", F.round("score", 6).alias("score"), "route", "reason")
+
+
+def typed_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups by explicit links between records of compatible types, by size."""
+    ids, le = _t(spark, sf_dir, "identities", "local_entities")
+    return I.explicit_mapping(ids, le).groupBy("entity_id").agg(F.count("*").alias("n_members")).groupBy("n_members").agg(F.count("*").alias("n_entities"))
+
+
+def streamed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events taken in as a stream, each once, into a table; counted there by type."""
+    import uuid
+
+    from quillgraph.session import shared_dir
+    from quillgraph.streaming import ingest
+
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    stream = ingest.read_stream(spark, sf_dir, read_table(spark, sf_dir, "events").schema, glob="events.parquet")
+    ingest.append_table(ingest.once(stream.select("event_id", "ts", "event_type"), "event_id", "ts", late="3650 days"), f"{at}/table", f"{at}/state").awaitTermination()
+    return spark.read.parquet(f"{at}/table").groupBy("event_type").agg(F.count("*").alias("n_events"))
+
+
 def explicit_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids, le = _t(spark, sf_dir, "identities", "local_entities")
     return I.canonical_entities(I.explicit_mapping(ids), le).groupBy("n_members").agg(F.count("*").alias("n_entities"), F.sum("n_names").alias("n_names"))
@@ -214,7 +248,7 @@ QUERIES = {
     for f in (
         fact_validation, fact_routes, fact_report, entity_groups, mention_counts, context_facts, context_lines, directed_views, view_labels, inverse_examples,
         missing_locals, pending_documents, fact_entity_edges, degree_report, graph_components, similar_pairs, transition_shares, dangling_orders,
-        edge_probabilities, blended_probabilities, two_step_paths, archive_compaction, canonical_probabilities, canonical_paths, canonical_archives, fair_batch, sampled_walks, exact_names, name_merge,
+        edge_probabilities, blended_probabilities, two_step_paths, archive_compaction, canonical_probabilities, canonical_paths, canonical_archives, fair_batch, sampled_walks, exact_names, name_merge, identity_candidates, typed_entities, streamed_events,
         explicit_entities, pagerank_suppliers,
     )
 }
@@ -235,7 +269,33 @@ _NODES = """links AS (SELECT left_local AS a, right_local AS b FROM identities W
 _CANONICAL = f"""{_NODES}, {_STEPS.replace("from_local AS from_node, to_local AS to_node,", "coalesce(a.e, from_local) AS from_node, coalesce(b.e, to_local) AS to_node,").replace("AS own FROM views", "AS own FROM views LEFT JOIN nodes a ON a.v = from_local LEFT JOIN nodes b ON b.v = to_local")}"""
 _FAULT = lambda cond, code: f"CASE WHEN coalesce({cond}, true) THEN '{code}' END"
 
+_UNIT = """uv AS (SELECT vector_key AS local_id, list_transform(v, lambda x: x / n) AS v FROM (
+        SELECT vector_key, v, sqrt(list_inner_product(v, v)) AS n FROM (
+            SELECT vector_key, vector::DOUBLE[] AS v, row_number() OVER (PARTITION BY vector_key ORDER BY created_at DESC, vector DESC) AS r FROM embedding_vectors
+            WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0) WHERE r = 1))"""
+
 ORACLE_SQL = {
+    "identity_candidates": f"""WITH {_UNIT},
+        k AS (SELECT local_id, min(type) AS type, min(doc_id) AS doc, min(name) AS name, bool_or(try_cast(doc_id AS BIGINT) % 100 = 0) AS asked FROM local_entities WHERE local_id IS NOT NULL GROUP BY 1),
+        b AS (SELECT k.*, CASE WHEN type IN ('Other', 'Unknown') OR type IS NULL THEN 'OTHER' ELSE type END AS grp, v FROM k JOIN uv USING (local_id)),
+        p AS (SELECT q.local_id AS query, b.local_id AS id, round(list_inner_product(q.v, b.v), 9) AS s, q.grp = b.grp AS same, (q.grp = 'OTHER') <> (b.grp = 'OTHER') AS across FROM b q JOIN b ON q.asked AND q.local_id <> b.local_id),
+        r AS (SELECT query, id, s, 'type' AS route, row_number() OVER (PARTITION BY query ORDER BY s DESC, id) AS rank FROM p WHERE same
+              UNION ALL SELECT query, id, s, 'boundary', row_number() OVER (PARTITION BY query ORDER BY s DESC, id) FROM p WHERE across),
+        c AS (SELECT least(query, id) AS l, greatest(query, id) AS r, max(s) AS score, max(route) AS route FROM r WHERE rank <= 12 AND s >= 0.8 GROUP BY ALL)
+        SELECT l AS "left", r AS "right", round(score, 6) AS score, route,
+            CASE WHEN trim(regexp_replace(lower(nfc_normalize(a.name)), '\\s+', ' ', 'g')) = trim(regexp_replace(lower(nfc_normalize(b.name)), '\\s+', ' ', 'g')) THEN 'equal_name'
+                 WHEN a.grp <> b.grp AND a.grp <> 'OTHER' AND b.grp <> 'OTHER' THEN 'type_conflict' WHEN a.doc = b.doc THEN 'same_document' ELSE 'review' END AS reason
+        FROM c JOIN b a ON a.local_id = c.l JOIN b ON b.local_id = c.r""",
+    "typed_entities": """WITH RECURSIVE k AS (SELECT local_id, min(type) AS type FROM local_entities WHERE local_id IS NOT NULL GROUP BY 1),
+        g AS (SELECT local_id, CASE WHEN type IN ('Other', 'Unknown') OR type IS NULL THEN 'OTHER' ELSE type END AS grp FROM k),
+        l AS (SELECT left_local AS a, right_local AS b FROM identities i LEFT JOIN g x ON x.local_id = left_local LEFT JOIN g y ON y.local_id = right_local
+              WHERE left_local IS NOT NULL AND right_local IS NOT NULL AND left_local <> right_local
+                AND (coalesce(x.grp, 'OTHER') = coalesce(y.grp, 'OTHER') OR coalesce(x.grp, 'OTHER') = 'OTHER' OR coalesce(y.grp, 'OTHER') = 'OTHER')),
+        e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+        reach(v, r) AS (SELECT a, a FROM e UNION SELECT e.b, reach.r FROM reach JOIN e ON reach.v = e.a),
+        c AS (SELECT v, min(r) AS root FROM reach GROUP BY v), n AS (SELECT root, count(*) AS n_members FROM c GROUP BY root)
+        SELECT n_members, count(*) AS n_entities FROM n GROUP BY 1""",
+    "streamed_events": "SELECT event_type, count(DISTINCT event_id) AS n_events FROM events GROUP BY 1",
     "context_lines": """
         WITH n AS (SELECT local_id, min(name) AS name FROM local_entities WHERE local_id IS NOT NULL GROUP BY 1),
         f AS (SELECT DISTINCT subject_local, object_local, raw_relation, literal_raw, array_to_string(list_transform(list_sort(map_entries(qualifiers)), lambda x: x.key || '=' || coalesce(x.value, '')), '; ') AS told FROM facts),

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 16) -> DataFrame:
-    """New parquet files of a folder, a bounded number per micro-batch."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 16, glob: str | None = None) -> DataFrame:
+    """New parquet files of a folder, or those that ``glob`` names, a bounded number per micro-batch."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    return (reader.option("pathGlobFilter", glob) if glob else reader).parquet(path)
 
 
 def once(stream: DataFrame, key: str, time: str, late: str = "10 days") -> DataFrame:

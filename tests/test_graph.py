@@ -106,3 +106,30 @@ def test_similarity_edges_equal_brute_force(spark):
     rows = [("t" if i % 3 else "u", i, v[i].tolist()) for i in range(40)]
     got = {(r.a, r.b) for r in R.similarity_edges(spark.createDataFrame(rows, "type string, id int, v array<double>"), 2.0, chunk=7).collect()}
     assert got == {(i, j) for i in range(40) for j in range(i + 1, 40) if (i % 3 > 0) == (j % 3 > 0) and v[i] @ v[j] >= 2.0}
+
+
+def test_pagerank_queries_stop_on_their_own(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("c", "b"), ("x", "y"), ("y", "x"), ("c", "lost")], "src string, dst string")
+    seeds = spark.createDataFrame([("q", "a", 1.0), ("r", "x", 0.5), ("r", "y", 0.5), ("s", "alone", 1.0)], "query string, node string, p double")
+    got = {(r.query, r.node): r.score for r in G.personalised_pagerank(edges, seeds, alpha=0.65, iterations=60, tolerance=1e-10).collect()}
+    out = {}
+    for s, d in [("a", "b"), ("b", "a"), ("b", "c"), ("c", "b"), ("x", "y"), ("y", "x"), ("c", "lost")]:
+        out.setdefault(s, []).append(d)
+    for query, start in (("q", {"a": 1.0}), ("r", {"x": 0.5, "y": 0.5}), ("s", {"alone": 1.0})):
+        x = dict(start)
+        for _ in range(200):
+            nxt, lost = {}, sum(v for k, v in x.items() if k not in out)
+            for k, v in x.items():
+                for d in out.get(k, ()):
+                    nxt[d] = nxt.get(d, 0) + 0.65 * v / len(out[k])
+            for k, v in start.items():
+                nxt[k] = nxt.get(k, 0) + v * (0.35 + 0.65 * lost)
+            x = nxt
+        mine = {k: v for (q, k), v in got.items() if q == query}
+        assert set(mine) == set(x) and all(abs(mine[k] - x[k]) < 1e-6 for k in x)
+
+
+def test_passages_by_their_best_fact(spark):
+    scores = spark.createDataFrame([("q", "f1", 0.2), ("q", "f2", 0.5), ("q", "f3", 0.5), ("q", "f4", 0.1)], "query string, node string, score double")
+    facts = spark.createDataFrame([("f1", "1", "d1"), ("f2", "2", "d1"), ("f3", "3", "d2"), ("f4", "4", "d3")], "node string, fact_id string, passage string")
+    assert [tuple(r) for r in G.rank_passages(scores, facts, 2).orderBy("rank").collect()] == [("q", "d1", 0.5, "2", 1), ("q", "d2", 0.5, "3", 2)]

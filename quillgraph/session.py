@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 
 #: Rows up to which a dimension table counts as small.
 SMALL_ROWS = 20_000
+#: Bytes up to which a side counts as small, whatever its rows.
+SMALL_BYTES = 64 << 20
 
 _own_dirs: dict[str, str] = {}
 
@@ -92,13 +94,21 @@ def _nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
 
 
-def is_small(df: DataFrame, rows: int = SMALL_ROWS) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; reads no more than that many."""
-    return df.limit(rows + 1).count() <= rows
+def is_small(df: DataFrame, rows: int = SMALL_ROWS, size: int = SMALL_BYTES) -> bool:
+    """Whether ``df`` has at most ``rows`` rows and about ``size`` bytes; reads no more than that many rows.
 
+    Rows of fixed width are measured by their schema, others by their values written out.
+    """
+    if all(isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType)) for f in df.schema.fields):
+        most = min(rows, size // (8 * max(1, len(df.columns))))
+        return df.limit(most + 1).count() <= most
+    measured = df.limit(rows + 1).select(F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).alias("_n"))
+    got = measured.agg(F.count("*").alias("n"), F.coalesce(F.sum("_n"), F.lit(0)).alias("b")).first()
+    return got["n"] <= rows and got["b"] <= size
 
-def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    return F.broadcast(df) if is_small(df, rows) else df
+
+def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS, size: int = SMALL_BYTES) -> DataFrame:
+    return F.broadcast(df) if is_small(df, rows, size) else df
 
 
 def empty(spark: SparkSession, schema: T.StructType | str) -> DataFrame:

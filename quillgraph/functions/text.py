@@ -70,6 +70,16 @@ def stable_id(prefix: str, digits: int, **fields: Column) -> Column:
     return F.concat(F.lit(prefix), F.substring(F.sha2(doc, 256), 1, digits))
 
 
+def spaced_digest(**fields: Column) -> Column:
+    """SHA-256 in hex of the JSON with sorted keys, a blank after every colon and comma between the fields."""
+    def member(k: str) -> Column:
+        whole = F.to_json(F.struct(fields[k].alias(k)), {"ignoreNullFields": "false"})  # {"k":value}
+        head = len(f'{{"{k}":')
+        return F.concat(F.lit(f'"{k}": '), F.substring(whole, F.lit(head + 1), F.length(whole) - F.lit(head + 1)))
+
+    return F.sha2(F.concat(F.lit("{"), F.concat_ws(", ", *[member(k) for k in sorted(fields)]), F.lit("}")), 256)
+
+
 #: Kinship words that a relation label may name, and words that may stand before one (fixed values).
 ROLES = (
     "mother father parent son daughter child wife husband spouse brother sister sibling uncle aunt nephew niece "

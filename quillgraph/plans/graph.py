@@ -91,6 +91,31 @@ def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.components(G.symmetric(e, "a", "b")).groupBy("component").agg(F.count("*").alias("n_vertices"))
 
 
+def _fact_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges between facts and records, in both directions."""
+    return materialize(G.symmetric(fact_entity_edges(spark, sf_dir).select(F.concat(F.lit("f:"), "fact_id").alias("a"), F.concat(F.lit("e:"), "entity").alias("b")), "a", "b"), "fact_graph")
+
+
+def fact_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of the graph of facts and records, by size."""
+    c = G.components(_fact_graph(spark, sf_dir)).groupBy("component").agg(F.count("*").alias("n_vertices"))
+    return c.groupBy("n_vertices").agg(F.count("*").alias("n_components"))
+
+
+def graph_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row on the graph of facts and records: vertices of each kind, edges, isolated records, degrees, components."""
+    edges = _fact_graph(spark, sf_dir)
+    degree = edges.groupBy("src").agg(F.count("*").alias("d")).agg(
+        F.count_if(F.col("src").startswith("f:")).alias("n_facts"), F.count_if(F.col("src").startswith("e:")).alias("n_entities"), F.sum("d").alias("_both"), F.max("d").alias("max_degree"), F.round(F.avg("d"), 6).alias("mean_degree")
+    )
+    known = read_table(spark, sf_dir, "local_entities").where("local_id is not null").select(F.concat(F.lit("e:"), "local_id").alias("src")).distinct()
+    alone = known.join(edges, "src", "left_anti").agg(F.count("*").alias("n_isolated"))
+    parts = G.components(edges).groupBy("component").agg(F.count("*").alias("n")).agg(F.count("*").alias("n_components"), F.max("n").alias("largest_component"))
+    one = lambda df: F.broadcast(df.withColumn("_one", F.lit(1)))  # noqa: E731  # single rows
+    out = degree.withColumn("_one", F.lit(1)).join(one(alone), "_one").join(one(parts), "_one")
+    return out.select("n_facts", "n_entities", (F.col("_both") / 2).cast("bigint").alias("n_edges"), "n_isolated", "max_degree", "mean_degree", "n_components", "largest_component")
+
+
 def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = read_table(spark, sf_dir, "embeddings").select(F.col("label").alias("type"), F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     return similarity_edges(v, SIMILAR).select("type", "a", "b", F.round("score", 6).alias("score"))
@@ -247,7 +272,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         fact_validation, fact_routes, fact_report, entity_groups, mention_counts, context_facts, context_lines, directed_views, view_labels, inverse_examples,
-        missing_locals, pending_documents, fact_entity_edges, degree_report, graph_components, similar_pairs, transition_shares, dangling_orders,
+        missing_locals, pending_documents, fact_entity_edges, degree_report, graph_components, fact_components, graph_report, similar_pairs, transition_shares, dangling_orders,
         edge_probabilities, blended_probabilities, two_step_paths, archive_compaction, canonical_probabilities, canonical_paths, canonical_archives, fair_batch, sampled_walks, exact_names, name_merge, identity_candidates, typed_entities, streamed_events,
         explicit_entities, pagerank_suppliers,
     )
@@ -274,7 +299,17 @@ _UNIT = """uv AS (SELECT vector_key AS local_id, list_transform(v, lambda x: x /
             SELECT vector_key, vector::DOUBLE[] AS v, row_number() OVER (PARTITION BY vector_key ORDER BY created_at DESC, vector DESC) AS r FROM embedding_vectors
             WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0) WHERE r = 1))"""
 
+_FACT_GRAPH = """e AS (SELECT DISTINCT 'f:' || fact_id AS f, 'e:' || x AS n FROM (SELECT fact_id, unnest([subject_local, object_local]) AS x FROM facts) WHERE x IS NOT NULL),
+    s AS (SELECT f AS a, n AS b FROM e UNION SELECT n, f FROM e),
+    reach(v, r) AS (SELECT a, a FROM s UNION SELECT s.b, reach.r FROM reach JOIN s ON reach.v = s.a),
+    c AS (SELECT root, count(*) AS n FROM (SELECT v, min(r) AS root FROM reach GROUP BY v) GROUP BY root)"""
+
 ORACLE_SQL = {
+    "fact_components": f"WITH RECURSIVE {_FACT_GRAPH} SELECT n AS n_vertices, count(*) AS n_components FROM c GROUP BY n",
+    "graph_report": f"""WITH RECURSIVE {_FACT_GRAPH}, d AS (SELECT a, count(*) AS d FROM s GROUP BY a)
+        SELECT count(*) FILTER (a LIKE 'f:%') AS n_facts, count(*) FILTER (a LIKE 'e:%') AS n_entities, (SELECT count(*) FROM e) AS n_edges,
+            (SELECT count(DISTINCT local_id) FROM local_entities WHERE 'e:' || local_id NOT IN (SELECT n FROM e)) AS n_isolated,
+            max(d) AS max_degree, round(avg(d), 6) AS mean_degree, (SELECT count(*) FROM c) AS n_components, (SELECT max(n) FROM c) AS largest_component FROM d""",
     "identity_candidates": f"""WITH {_UNIT},
         k AS (SELECT local_id, min(type) AS type, min(doc_id) AS doc, min(name) AS name, bool_or(try_cast(doc_id AS BIGINT) % 100 = 0) AS asked FROM local_entities WHERE local_id IS NOT NULL GROUP BY 1),
         b AS (SELECT k.*, CASE WHEN type IN ('Other', 'Unknown') OR type IS NULL THEN 'OTHER' ELSE type END AS grp, v FROM k JOIN uv USING (local_id)),

@@ -23,6 +23,11 @@ def stable_doc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", T.stable_id("doc-", 16, doc_id=F.col("doc_id"), lang=F.coalesce("lang", F.lit("und"))).alias("stable_id"))
 
 
+def content_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return docs.select("doc_id", T.spaced_digest(doc_id=F.col("doc_id"), lang=F.col("lang"), n_chars=F.col("n_chars")).alias("digest"))
+
+
 def _titled(docs: DataFrame) -> DataFrame:
     return docs.where("title is not null").select("doc_id", "text", F.lower(T.collapse(F.col("title"))).alias("title_key")).where("title_key <> ''")
 
@@ -60,6 +65,7 @@ def answer_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "chunk_windows": chunk_windows,
     "stable_doc_ids": stable_doc_ids,
+    "content_digests": content_digests,
     "first_doc_wins": first_doc_wins,
     "ordered_support": ordered_support,
     "role_inverses": role_inverses,
@@ -103,6 +109,7 @@ ORACLE_SQL = {
         SELECT doc_id, s AS chunk_start, least(512, n - s) AS n_tokens,
                sha256(CASE WHEN n <= 512 THEN text ELSE array_to_string(k[s + 1:s + 512], ' ') END) AS chunk_hash FROM s""",
     "stable_doc_ids": """SELECT doc_id, 'doc-' || substr(sha256('{"doc_id":' || doc_id || ',"lang":"' || coalesce(lang, 'und') || '"}'), 1, 16) AS stable_id FROM documents""",
+    "content_digests": """SELECT doc_id, sha256('{"doc_id": ' || doc_id || ', "lang": ' || coalesce('"' || lang || '"', 'null') || ', "n_chars": ' || coalesce(n_chars::VARCHAR, 'null') || '}') AS digest FROM documents""",
     "first_doc_wins": f"""
         WITH t AS (SELECT doc_id, coalesce(text, '') AS x, lower({sql_collapse('title')}) AS title_key FROM documents WHERE title IS NOT NULL),
         f AS (SELECT *, first_value(x) OVER w AS fx, first_value(doc_id) OVER w AS fd FROM t WHERE title_key <> '' WINDOW w AS (PARTITION BY title_key ORDER BY doc_id))

@@ -11,14 +11,20 @@ class BadRecord(ValueError):
     """A record that breaks the format, with its line number."""
 
 
-def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, torn: bool = False) -> DataFrame:
     """(line_no, value VARIANT) of each non-blank line; a line that is no JSON object raises BadRecord.
 
+    With ``torn`` a last line that was cut off while it was written is left out; the file is one that is appended to.
+
     The line number comes from the position inside the file, so a bad record of a single file can be
     named; the check is one distributed pass over the text.
     """
     lines = spark.read.text(path).withColumn("_at", F.monotonically_increasing_id()).where(F.trim("value") != "")
     parsed = lines.select("_at", "value", F.try_parse_json("value").alias("json"))
+    if torn:
+        last = parsed.agg(F.max_by(F.struct("_at", F.col("json").isNull().alias("cut")), "_at").alias("l")).first()["l"]
+        if last is not None and last["cut"]:
+            parsed = parsed.where(F.col("_at") < last["_at"])
     bad = parsed.where(F.col("json").isNull() | ~F.trim("value").startswith("{")).orderBy("_at").limit(1).collect()
     if bad:
         above = spark.read.text(path).withColumn("_at", F.monotonically_increasing_id()).where(F.col("_at") <= bad[0]["_at"]).count()
@@ -36,10 +42,13 @@ def read_any_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def as_list(value: Column, path: str) -> Column:
-    """A list field: null becomes empty, a scalar a list of itself, elements become strings."""
+    """A list field: null becomes empty, a scalar a list of itself, elements become strings; an object is an error."""
+    kind = F.schema_of_variant(F.try_variant_get(value, path, "variant"))
     many = F.try_variant_get(value, path, "array<string>")
     one = F.try_variant_get(value, path, "string")
-    return F.when(many.isNotNull(), many).when(one.isNotNull(), F.array(one)).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    wrong = F.raise_error(F.concat(F.lit(f"{path} is no list: "), kind)).cast("array<string>")
+    return F.when(kind.isNull() | (kind == "VOID"), none).when(kind.startswith("OBJECT"), wrong).when(many.isNotNull(), many).when(one.isNotNull(), F.array(one)).otherwise(none)
 
 
 def _required(c: Column, name: str) -> Column:

@@ -16,6 +16,11 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").option("ignoreNullFields", "false").json(path)
 
 
+def append_jsonl(df: DataFrame, path: str) -> None:
+    """Add rows to a folder of JSON lines; a failed attempt adds nothing, because files count only once the job commits."""
+    df.write.mode("append").option("ignoreNullFields", "false").json(path)
+
+
 def _path(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())

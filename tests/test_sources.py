@@ -33,6 +33,27 @@ def test_bad_records(spark, tmp_path):
         S.load_corpus(spark, write(tmp_path, "no.jsonl", ['{"doc_id": "d", "text": " "}'])).collect()
 
 
+def test_a_torn_last_line_is_left_out_on_request(spark, tmp_path):
+    path = write(tmp_path, "torn.jsonl", ['{"a": 1}', '{"a": 2}', '{"a": 3, "b'])
+    with pytest.raises(S.BadRecord, match="line 3"):
+        S.read_jsonl(spark, path)
+    assert S.read_jsonl(spark, path, torn=True).count() == 2
+    with pytest.raises(S.BadRecord, match="line 1"):
+        S.read_jsonl(spark, write(tmp_path, "bad2.jsonl", ["{oops", '{"a": 2}']), torn=True)
+
+
+def test_an_object_is_no_list(spark, tmp_path):
+    with pytest.raises(Exception, match="is no list"):
+        S.load_queries(spark, write(tmp_path, "o.jsonl", ['{"query_id": "q", "question": "?", "answers": {"a": 1}}'])).collect()
+
+
+def test_append(spark, tmp_path):
+    path = str(tmp_path / "log")
+    K.append_jsonl(spark.range(2), path)
+    K.append_jsonl(spark.range(2, 5), path)
+    assert sorted(r.id for r in spark.read.json(path).collect()) == [0, 1, 2, 3, 4]
+
+
 def test_convert_titled(spark):
     schema = "id string, question string, answer string, type string, level string, context struct<title: array<string>, sentences: array<array<string>>>, supporting_facts struct<title: array<string>, sent_id: array<int>>"
     rows = spark.createDataFrame(

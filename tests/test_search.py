@@ -47,3 +47,19 @@ def test_allocation_uses_every_lot(spark):
     budget = S.Budget(particles=100, lot=10)
     fronts = S.start_frontiers(spark.createDataFrame([("q", "m", f"n{i}", 1.0 / (i + 1), i + 1) for i in range(4)], "query string, mention string, node string, prior double, rank int"))
     assert S.allocate(fronts, 1, budget).agg(F.sum("lots")).first()[0] == 10
+
+
+def test_used_facts_have_no_weight_and_the_rest_is_normalised(spark):
+    rows = [("a", "b", "f1", "forward", "l", "d", True), ("a", "c", "f2", "forward", "l", "d", True), ("a", "d", "g1", "forward", "l", "d", False), ("a", "e", "g2", "forward", "l", "d", False)]
+    budget = S.Budget(particles=4000, lot=10, steps=1)
+    start = S.start_frontiers(spark.createDataFrame([("q", "m", "a", 1.0, 1)], "query string, mention string, node string, prior double, rank int"))
+    one = lambda c: F.array(F.lit(c))
+    front = start.withColumn("prefix", one("f1")).withColumn("labels", one("l")).withColumn("docs", one("d")).withColumn("epsilon", F.lit(0.3)).withColumn("lots", F.lit(400))
+    intervals = S.edge_intervals(spark.createDataFrame(rows, STEPS))
+    drawn = {r.f: r["count"] / 4000 for r in S.walk(front, intervals, 1, budget).select(F.get("path", F.lit(1)).alias("f")).groupBy("f").count().collect()}
+    assert set(drawn) == {"f2", "g1", "g2"}
+    assert abs(drawn["f2"] - 0.35 / 0.65) < 0.03 and abs(drawn["g1"] - 0.15 / 0.65) < 0.03 and abs(drawn["g2"] - 0.15 / 0.65) < 0.03
+    every = front.withColumn("prefix", F.array(*[F.lit(x) for x in ("f1", "f2", "g1", "g2")]))
+    assert S.walk(every, intervals, 1, budget).where("moved").count() == 0
+    asked_only = front.withColumn("epsilon", F.lit(0.0))
+    assert {r.f for r in S.walk(asked_only, intervals, 1, budget).select(F.get("path", F.lit(1)).alias("f")).distinct().collect()} == {"f2"}

@@ -172,7 +172,11 @@ def search(starts: DataFrame, steps: DataFrame, checker: Checker, budget: Budget
         old = frontiers.join(counts, ["query", "fid"], "left").join(seen, ["query", "fid"], "left")
         old = old.withColumn("processed", F.col("processed") + F.coalesce("_processed", F.lit(0))).withColumn("walked", F.col("walked") + F.coalesce("_walked", F.lit(0))).withColumn("blocked", F.col("blocked") + F.coalesce("_blocked", F.lit(0)))
         spent = (F.col("processed") >= budget.lot) | ((F.col("blocked") >= budget.lot) & (F.col("walked") == 0))
-        old = old.withColumn("epsilon", F.when(spent, F.least(F.col("epsilon") + budget.epsilon_step, F.lit(budget.epsilon_most))).otherwise(F.col("epsilon"))).drop("_walked", "_blocked", "_processed")
+        # a wider epsilon is a new policy: what was counted under the old one no longer tells how spent the frontier is
+        old = old.withColumn("_raised", spent & (F.col("epsilon") < budget.epsilon_most))
+        for c in ("processed", "walked", "blocked"):
+            old = old.withColumn(c, F.when(F.col("_raised"), 0).otherwise(F.col(c)))
+        old = old.withColumn("epsilon", F.when(F.col("_raised"), F.least(F.col("epsilon") + budget.epsilon_step, F.lit(budget.epsilon_most))).otherwise(F.col("epsilon"))).drop("_raised", "_walked", "_blocked", "_processed")
         more = judged.where("useful and node is not null").select(
             "query", F.sha2(F.concat_ws("|", "query", "mention", "node", F.concat_ws(">", "path")), 256).alias("fid"), "mention", "node", F.col("path").alias("prefix"), "labels", "docs", "base", "rank",
             F.lit(0.0).alias("epsilon"), *[F.lit(0).cast("bigint").alias(c) for c in ("processed", "walked", "blocked")],

@@ -4,14 +4,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.operators import graph as G
+from quillgraph.session import materialize
 
 
 def graph(spark, facts):
     """Kinds and edges of facts (fact, doc, ends)."""
     told = spark.createDataFrame(facts, "fact string, doc string, ends array<bigint>").withColumn("ends", F.array_sort(F.array_distinct("ends")))
-    from quillgraph.session import materialize
-
-    told = materialize(told, "told")
+    told = materialize(told.groupBy("fact", "ends").agg(F.collect_set("doc").alias("docs")), "told")
     edges = told.select(F.concat(F.lit("f:"), "fact").alias("a"), F.explode(F.col("ends").cast("array<string>")).alias("b")).distinct()
     return told, materialize(G.fact_kinds(told), "kinds"), G.symmetric(edges, "a", "b")
 
@@ -29,7 +28,7 @@ def test_passages_over_nodes_equal_those_over_facts_and_nodes(spark, monkeypatch
     each = {q: sum(1 for p, _ in seeds if p == q) for q, _ in seeds}
     p = spark.createDataFrame([(q, n, 1.0 / each[q]) for q, n in seeds], "query bigint, node bigint, p double")
     scores = G.personalised_pagerank(edges, p.withColumn("node", F.col("node").cast("string")), 0.65, iterations)
-    named = told.select(F.concat(F.lit("f:"), "fact").alias("node"), F.col("fact").alias("fact_id"), F.col("doc").alias("passage"))
+    named = told.select(F.concat(F.lit("f:"), "fact").alias("node"), F.col("fact").alias("fact_id"), F.explode("docs").alias("passage"))
     wanted = G.rank_passages(scores.withColumn("score", F.round("score", 9)), named, 5).collect()
     got = G.rank_fact_passages(G.scores_per_fact(kinds, p, 0.65, iterations), kinds, told, 5).collect()
     key = lambda rows: sorted((r.query, r["rank"], r.passage, r.best_fact, round(r.score, 8)) for r in rows)

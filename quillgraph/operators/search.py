@@ -67,16 +67,16 @@ def allocate(frontiers: DataFrame, round_: int, budget: Budget) -> DataFrame:
     rows = rows.withColumn("_w", F.col("base") * budget.lot / (budget.lot + F.col("processed")))
     run = Window.partitionBy("query").orderBy("fid")
     rows = rows.withColumn("_hi", F.sum("_w").over(run.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_w").over(Window.partitionBy("query"))).withColumn("_given", F.sum("_sure").over(Window.partitionBy("query")))
-    draws = rows.groupBy("query").agg(F.max("_all").alias("_all"), F.max("_given").alias("_given"))
-    draws = draws.select("query", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.lit(lots) - F.col("_given")))).alias("_i"), "_all")
-    draws = draws.withColumn("_u", uniform(F.lit(budget.seed), F.lit(round_), F.col("query"), F.col("_i")) * F.col("_all"))
-    hits = draws.select("query", "_u").join(rows.select("query", "fid", "_hi", "_w"), "query").where("_u < _hi and _u >= _hi - _w").groupBy("query", "fid").agg(F.count("*").alias("_drawn"))
-    out = rows.join(hits, ["query", "fid"], "left").withColumn("lots", (F.col("_sure") + F.coalesce("_drawn", F.lit(0))).cast("int"))
-    return out.where("lots > 0").drop("_fresh", "_place", "_sure", "_w", "_hi", "_all", "_given", "_drawn")
+    # every frontier looks at the draws of its question, so nothing is joined
+    draws = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.lit(lots) - F.col("_given"))), lambda i: uniform(F.lit(budget.seed), F.lit(round_), F.col("query"), i) * F.col("_all"))
+    drawn = F.size(F.filter(draws, lambda u: (u < F.col("_hi")) & (u >= F.col("_hi") - F.col("_w"))))
+    out = rows.withColumn("lots", (F.col("_sure") + drawn).cast("int"))
+    return out.where("lots > 0").drop("_fresh", "_place", "_sure", "_w", "_hi", "_all", "_given")
 
 
 def edge_intervals(steps: DataFrame) -> DataFrame:
     """Per node its edges of each kind (priority or not), numbered from 0, and how many it has of each."""
+    steps = steps.repartition("from_node")  # both windows and the counts come of one shuffle
     w = Window.partitionBy("from_node", "priority")
     place = F.row_number().over(w.orderBy("fact_id", "direction", F.coalesce("to_node", F.lit(""))))
     both = Window.partitionBy("from_node")
@@ -87,19 +87,27 @@ def edge_intervals(steps: DataFrame) -> DataFrame:
 
 
 def walk(allocated: DataFrame, intervals: DataFrame, round_: int, budget: Budget) -> DataFrame:
-    """One row per particle: the frontier, the new path and whether it moved.
+    """One row per particle: the frontier, the new path and whether it moved; see ``walk_together``."""
+    together = walk_together(allocated, intervals, round_, budget)
+    return together.select("*", F.explode("ps").alias("p")).drop("ps")
+
+
+def walk_together(allocated: DataFrame, intervals: DataFrame, round_: int, budget: Budget) -> DataFrame:
+    """One row for all particles ``ps`` of a frontier that took the same path: the frontier, the new path and whether they moved.
 
     A step first decides between asked-for and other edges (1 - epsilon to epsilon), then draws
-    evenly within the kind. Edges of used facts have no weight and the rest is normalised again: the particle's
-    used edges at its node are looked up, what they leave of each kind decides the kind, and the draw skips their
-    numbers. A particle without a usable edge rests. The number of the drawn edge is in the join key, so a particle at a hub
-    meets one edge, and the lookup of used edges is by node and fact.
+    evenly within the kind. Edges of used facts have no weight and the rest is normalised again: the
+    used edges at the particles' node are looked up, what they leave of each kind decides the kind, and the draw skips their
+    numbers. A particle without a usable edge rests. The number of the drawn edge is in the join key, so particles at a hub
+    meet one edge, and the lookup of used edges is by node and fact. Each particle draws on its own, but those at one place
+    travel as one row, and only with what the next step needs; the frontier's own columns join them at the end.
     """
     kinds = intervals.select("node", "_some", "_other").distinct()
-    state = allocated.select("query", "fid", "mention", "epsilon", "base", "rank", F.explode(F.sequence(F.lit(1), F.col("lots") * budget.lot)).alias("p"), "node", "prefix", F.col("prefix").alias("path"), "labels", "docs")
-    id_ = ["query", "fid", "p"]
+    empty = F.array().cast("array<string>")
+    state = allocated.select("fid", "epsilon", F.size("prefix").alias("_from"), "node", F.col("prefix").alias("path"), empty.alias("labels"), empty.alias("docs"), F.sequence(F.lit(1), F.col("lots") * budget.lot).alias("ps"), F.lit(1).alias("_first"))
+    id_ = ["fid", "_first"]
     for depth in range(budget.steps):
-        u = lambda name: uniform(F.lit(budget.seed), F.lit(round_), F.col("fid"), F.col("p"), F.lit(depth), F.lit(name))  # noqa: E731, B023
+        u = lambda p, name: uniform(F.lit(budget.seed), F.lit(round_), F.col("fid"), p, F.lit(depth), F.lit(name))  # noqa: E731, B023
         known = intervals.select("node", F.col("_fact").alias("_f"), F.col("priority").alias("_kind"), "_place")
         gone = state.where("node is not null").select(*id_, "node", F.explode(F.array_distinct("path")).alias("_f")).join(known, ["node", "_f"])
         gone = gone.groupBy(*id_).agg(*[F.array_sort(F.collect_list(F.when(F.col("_kind") == k, F.col("_place")))).alias(c) for k, c in ((True, "_us"), (False, "_uo"))])  # as many as the path has facts
@@ -109,21 +117,30 @@ def walk(allocated: DataFrame, intervals: DataFrame, round_: int, budget: Budget
         left_s, left_o = F.col("_some") - F.size("_us"), F.col("_other") - F.size("_uo")
         mass_s = F.when(both, (1 - F.col("epsilon")) * left_s / F.col("_some")).when(F.col("_some") > 0, left_s / F.col("_some")).otherwise(0.0)
         mass_o = F.when(both, F.col("epsilon") * left_o / F.col("_other")).when((F.col("_other") > 0) & (F.col("epsilon") > 0), left_o / F.col("_other")).otherwise(0.0)
-        resting = F.size("path") > F.size("prefix") + depth
-        drawn = drawn.withColumn("_ms", mass_s).withColumn("_mo", mass_o)
-        drawn = drawn.withColumn("_asked", F.when(resting | (F.col("_ms") + F.col("_mo") <= 0) | F.col("_some").isNull(), None).otherwise((F.col("_mo") <= 0) | (u("kind") * (F.col("_ms") + F.col("_mo")) < F.col("_ms"))))
-        n = F.when(F.col("_asked"), left_s).otherwise(left_o)
-        skip = F.when(F.col("_asked"), F.col("_us")).otherwise(F.col("_uo"))
-        first = F.least(F.floor(u("edge") * n), n - 1).cast("bigint")
-        drawn = drawn.withColumn("_draw", F.aggregate(skip, first, lambda at, used: F.when(used <= at, at + 1).otherwise(at)))
+        resting = F.size("path") > F.col("_from") + depth
+        drawn = drawn.withColumn("_ms", mass_s).withColumn("_mo", mass_o).withColumn("_ls", left_s).withColumn("_lo", left_o)
+        drawn = drawn.withColumn("_rests", resting | (F.col("_ms") + F.col("_mo") <= 0) | F.col("_some").isNull())
+        asked = lambda p: F.when(F.col("_rests"), None).otherwise((F.col("_mo") <= 0) | (u(p, "kind") * (F.col("_ms") + F.col("_mo")) < F.col("_ms")))  # noqa: E731, B023
+        drawn = drawn.withColumn("_each", F.transform("ps", lambda p: F.struct(p.alias("p"), asked(p).alias("asked"))))  # noqa: B023
+
+        def place(d):
+            n = F.when(d["asked"], F.col("_ls")).otherwise(F.col("_lo"))
+            first = F.least(F.floor(u(d["p"], "edge") * n), n - 1).cast("bigint")  # noqa: B023
+            return F.when(d["asked"].isNotNull(), F.aggregate(F.when(d["asked"], F.col("_us")).otherwise(F.col("_uo")), first, lambda at, used: F.when(used <= at, at + 1).otherwise(at)))
+
+        drawn = drawn.withColumn("_each", F.transform("_each", lambda d: F.struct(d["p"].alias("p"), F.struct(d["asked"].alias("asked"), place(d).alias("place")).alias("edge"))))  # noqa: B023
+        drawn = drawn.select("fid", "epsilon", "_from", "node", "path", "labels", "docs", "_each", F.explode(F.array_distinct(F.col("_each.edge"))).alias("_edge"))
+        drawn = drawn.withColumn("ps", F.transform(F.filter("_each", lambda d: d["edge"].eqNullSafe(F.col("_edge"))), lambda d: d["p"])).drop("_each")
         edges = intervals.select(F.col("node").alias("_node"), F.col("priority").alias("_kind"), "_place", "_fact", "_to", "_label", "_doc")
-        # a particle without a draw keeps its row: the null kind meets no edge
-        drawn_at = (F.col("node") == F.col("_node")) & (F.col("_asked") == F.col("_kind")) & (F.col("_draw") == F.col("_place"))
-        hit = drawn.drop("_some", "_other").join(edges, drawn_at, "left")
+        # particles without a draw keep their row: the null kind meets no edge
+        drawn_at = (F.col("node") == F.col("_node")) & (F.col("_edge.asked") == F.col("_kind")) & (F.col("_edge.place") == F.col("_place"))
+        hit = drawn.join(edges, drawn_at, "left")
         fresh = F.col("_fact").isNotNull()
         more = lambda c, v: F.when(fresh, F.array_append(c, v)).otherwise(F.col(c)).alias(c)  # noqa: E731, B023
-        state = hit.select("query", "fid", "mention", "epsilon", "base", "rank", "p", F.when(fresh, F.col("_to")).otherwise(F.col("node")).alias("node"), "prefix", more("path", F.col("_fact")), more("labels", F.col("_label")), more("docs", F.col("_doc")))
-    return state.withColumn("moved", F.size("path") > F.size("prefix"))
+        state = hit.select("fid", "epsilon", "_from", F.when(fresh, F.col("_to")).otherwise(F.col("node")).alias("node"), more("path", F.col("_fact")), more("labels", F.col("_label")), more("docs", F.col("_doc")), "ps", F.get("ps", F.lit(0)).alias("_first"))
+    own = allocated.select("query", "fid", "mention", "base", "rank", "prefix", F.col("labels").alias("_labels"), F.col("docs").alias("_docs"))
+    out = state.join(own, "fid").select("query", "fid", "mention", "epsilon", "base", "rank", "node", "prefix", "path", F.concat("_labels", "labels").alias("labels"), F.concat("_docs", "docs").alias("docs"), "ps")
+    return out.withColumn("moved", F.size("path") > F.size("prefix"))
 
 
 def priority_checker(wanted: Sequence[str]) -> Checker:
@@ -154,20 +171,26 @@ def search(starts: DataFrame, steps: DataFrame, checker: Checker, budget: Budget
     frontiers = materialize(start_frontiers(starts), "frontiers")
     archive: DataFrame | None = None
     for round_ in range(1, budget.rounds + 1):
-        walked = materialize(walk(allocate(eligible(frontiers, round_, budget), round_, budget), intervals, round_, budget), "walked")
-        chains = walked.where("moved").groupBy("query", "path").agg(
-            F.min(F.struct("fid", "mention", "labels", "docs", "node", "base", "rank")).alias("c"), F.count("*").alias("n")
-        ).select("query", "c.fid", "c.mention", "path", "c.labels", "c.docs", "c.node", "c.base", "c.rank", "n")
+        allocated = materialize(allocate(eligible(frontiers, round_, budget), round_, budget), "allocated")
+        walked = materialize(walk_together(allocated, intervals, round_, budget), "walked")
+        discard(allocated)
+        # all that follows is by question, so the chains are shuffled once
+        chains = walked.where("moved").select("query", "path", F.struct("fid", "mention", "labels", "docs", "node", "base", "rank").alias("c"), F.size("ps").alias("n")).repartition("query")
+        chains = chains.groupBy("query", "path").agg(F.min("c").alias("c"), F.sum("n").alias("n")).select("query", "c.fid", "c.mention", "path", "c.labels", "c.docs", "c.node", "c.base", "c.rank", "n")
         if archive is not None:
-            chains = chains.join(archive.select("query", "path"), ["query", "path"], "left_anti")
+            kept = archive.groupBy("query").agg(F.collect_list("path").alias("_kept"))  # at most rounds x check
+            chains = chains.join(kept, "query", "left").where(~F.coalesce(F.array_contains("_kept", F.col("path")), F.lit(False))).drop("_kept")
         turn = Window.partitionBy("query", "mention").orderBy(F.size("path").desc(), F.col("n").desc(), F.sha2(F.concat_ws(">", "path"), 256))
         fair = chains.withColumn("_t", F.row_number().over(turn)).withColumn("_p", F.row_number().over(Window.partitionBy("query").orderBy("_t", "mention"))).where(F.col("_p") <= budget.check).drop("_t", "_p")
         judged = materialize(fair.select(*[f.split()[0] for f in CHAIN.split(", ")]).mapInPandas(_judge(checker), CHAIN + ", useful boolean"), "judged")
         found = judged.where("useful").select("query", "mention", "path", "labels", "docs", "node", F.lit(round_).alias("round"))
-        archive = materialize(found if archive is None else archive.unionByName(found), "archive")
+        before, archive = archive, materialize(found if archive is None else archive.unionByName(found), "archive")
+        if before is not None:
+            discard(before)
         if round_ == budget.rounds:
             break
-        counts = walked.groupBy("query", "fid").agg(F.count_if(F.col("moved")).alias("_walked"), F.count_if(~F.col("moved")).alias("_blocked"))
+        many = lambda held: F.sum(F.when(held, F.size("ps")).otherwise(0))
+        counts = walked.groupBy("query", "fid").agg(many(F.col("moved")).alias("_walked"), many(~F.col("moved")).alias("_blocked"))
         seen = judged.groupBy("query", "fid").agg(F.sum("n").alias("_processed"))
         old = frontiers.join(counts, ["query", "fid"], "left").join(seen, ["query", "fid"], "left")
         old = old.withColumn("processed", F.col("processed") + F.coalesce("_processed", F.lit(0))).withColumn("walked", F.col("walked") + F.coalesce("_walked", F.lit(0))).withColumn("blocked", F.col("blocked") + F.coalesce("_blocked", F.lit(0)))
@@ -182,8 +205,11 @@ def search(starts: DataFrame, steps: DataFrame, checker: Checker, budget: Budget
             F.lit(0.0).alias("epsilon"), *[F.lit(0).cast("bigint").alias(c) for c in ("processed", "walked", "blocked")],
         )
         new = materialize(old.unionByName(more).dropDuplicates(["query", "fid"]), "frontiers")
-        discard(frontiers)
+        for df in (frontiers, walked, judged):
+            discard(df)
         frontiers = new
+    for df in (frontiers, walked, judged, intervals):
+        discard(df)
     return archive
 
 

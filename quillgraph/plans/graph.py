@@ -144,10 +144,10 @@ def _walk_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.select("fact_id", "doc_id", "direction", F.col("from_local").alias("from_node"), F.col("to_local").alias("to_node"), F.col("label").isin(wanted).alias("priority"), (F.col("doc_id") == F.substring_index("from_local", "#", 1)).alias("own"))
 
 
-def canonical_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+def canonical_steps(spark: SparkSession, sf_dir: str, known: DataFrame | None = None) -> DataFrame:
     """The views between canonical nodes: records that identities join are one node, so a walk passes from article to article."""
     wanted = [f"X {r} Y" for r in PRIORITY]
-    steps = O.steps(directed_views(spark, sf_dir), I.explicit_mapping(read_table(spark, sf_dir, "identities")))
+    steps = O.steps(directed_views(spark, sf_dir), known or I.explicit_mapping(read_table(spark, sf_dir, "identities")))
     return steps.withColumn("priority", F.coalesce(F.col("label").isin(wanted), F.lit(False)))
 
 

@@ -63,3 +63,23 @@ def test_used_facts_have_no_weight_and_the_rest_is_normalised(spark):
     assert S.walk(every, intervals, 1, budget).where("moved").count() == 0
     asked_only = front.withColumn("epsilon", F.lit(0.0))
     assert {r.f for r in S.walk(asked_only, intervals, 1, budget).select(F.get("path", F.lit(1)).alias("f")).distinct().collect()} == {"f2"}
+
+
+def test_particles_of_one_path_are_one_row(spark):
+    edges = [("a", f"n{i}", f"f{i}", "forward", "l", "d", True) for i in range(3)]
+    front = S.start_frontiers(spark.createDataFrame([("q", "m", "a", 1.0, 1)], "query string, mention string, node string, prior double, rank int")).withColumn("lots", F.lit(50))
+    rows = S.walk_together(front, S.edge_intervals(spark.createDataFrame(edges, STEPS)), 1, S.Budget(steps=2)).collect()
+    assert sorted(tuple(r.path) for r in rows) == [("f0",), ("f1",), ("f2",)]
+    assert sorted(p for r in rows for p in r.ps) == list(range(1, 501))
+
+
+def test_search_leaves_nothing_but_its_archive(spark):
+    import os
+
+    from quillgraph.session import shared_dir
+
+    at = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(at))
+    found = S.search(starts(spark), graph(spark), S.priority_checker(["built by", "born in", "has size"]), S.Budget(particles=20, lot=5, rounds=3))
+    assert {x.split("-")[0] for x in set(os.listdir(at)) - before} == {"archive"} and len(set(os.listdir(at)) - before) == 1
+    assert found.count() > 0
